@@ -139,10 +139,12 @@ def _rounded(docs: DataFrame, weights: tuple[float, ...], cap: float, chunk_rows
         )
     )
     on = F.col("_src").eqNullSafe(F.col("_s"))
-    live = sized.join(recipe, on).select(
+    counted = sized.groupBy("doc_id", "_a", "_b", "_src", "size").agg(F.count("*").alias("_n"))
+    each = counted.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))  # tells rows apart that agree in all
+    live = each.join(recipe, on).select(
         "doc_id", "_a", "_b", "_src", "size",
         (F.col("_p") - F.floor("_p")).alias("_part"),
-        F.pmod(F.xxhash64("_a", "_b", F.monotonically_increasing_id()), F.col("_chunks")).alias("_chunk"),
+        F.pmod(F.xxhash64("_a", "_b", "_i"), F.col("_chunks")).alias("_chunk"),
     )
     most, level, done = max(chunks.values(), default=1), 0, []
     while True:
