@@ -182,8 +182,12 @@ def _kept(batch: Batch, rules: Sequence[Rule]) -> np.ndarray:
 
 
 def sample_texts(docs: DataFrame, n: int) -> list[bytes]:
-    """``n`` texts by a hash of the id: the sample on which costs are measured."""
-    rows = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()
+    """At most ``n`` texts by a hash of the id: the sample on which costs are measured.
+
+    The ids are picked first, so that only the picked texts travel.
+    """
+    ids = docs.select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(n)
+    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(ids), "_id", "left_semi").limit(n).collect()
     return [(r["text"] or "").encode() for r in rows]
 
 
