@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import licenses, mixing, pii, quality_net, quality_rules, topk, toxicity
+from sluice.llm import licenses, mixing, near_dedup, pii, quality_net, quality_rules, topk, toxicity
 from sluice.llm.common import table
 
 
+def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_statistics(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_toxicity, op4_exact_topk, op6_quality_classifier, op7_pii, op8_source_mixing, op9_license_scan)
+    f.__name__: f for f in (op1_dart_minhash, op2_quality_rules, op3_toxicity, op4_exact_topk, op6_quality_classifier, op7_pii, op8_source_mixing, op9_license_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op4_exact_topk": topk.ORACLE_SQL}

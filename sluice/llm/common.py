@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -41,6 +42,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Logical operators that give the same rows in the same order each time they run over the same files.
+_REPEATABLE = re.compile(r"[:+\s|-]*(Project|Filter|Relation|LocalRelation|LogicalRDD|Range|SubqueryAlias)\b")
+
+
+def repeatable(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written first unless it is a plain scan: ids by position then stay the same on each use."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return df if all(_REPEATABLE.match(line) for line in plan.splitlines() if line.strip()) else written(df, name)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or the first variant of it that no column of ``df`` has (names compare without case)."""
     taken = {c.lower() for c in df.columns}
@@ -147,3 +158,57 @@ def window_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np
     pos = np.arange(len(words)) - starts[owner]
     ok = pos[: len(h)] + width <= counts[owner[: len(h)]]
     return mix(h[ok]), owner[: len(h)][ok], pos[: len(h)][ok]
+
+
+def complete_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches of a partition that is sorted by integer ``keys``, cut so that no group is split: rows, groups' starts.
+
+    Holds one batch and the group that it ends in; callers bound the size of a group.
+    """
+    held: list[pa.RecordBatch] = []
+    for rb in batches:
+        if not rb.num_rows:
+            continue
+        cols = [rb.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        changes = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
+        if held and any(held[-1].column(k)[held[-1].num_rows - 1].as_py() != rb.column(k)[0].as_py() for k in keys):
+            yield _with_starts(held, keys)
+            held = []
+        if len(changes):
+            last = int(changes[-1])
+            yield _with_starts([*held, rb.slice(0, last)], keys)
+            held = [rb.slice(last)]
+        else:
+            held.append(rb)
+    if held:
+        yield _with_starts(held, keys)
+
+
+def _with_starts(parts: list[pa.RecordBatch], keys: Sequence[str]) -> tuple[pa.Table, np.ndarray]:
+    t = pa.Table.from_batches(parts).combine_chunks()
+    cols = [t.column(k).to_numpy() for k in keys]
+    changed = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    return t, np.concatenate([[0], np.flatnonzero(changed) + 1])
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Connected components of links (a, b): node, root (the component's smallest node), for all nodes but the roots.
+
+    Large star and small star in turn: each step is one aggregate and one join, so no node's neighbours meet in one
+    task, and the number of steps is logarithmic in the components' size.
+    """
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    before = None
+    while True:
+        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = edges.select(F.col("v").alias("s"), F.col("u").alias("t")).unionAll(edges.select(F.col("u").alias("s"), F.col("v").alias("t")))
+        large = large.where("t > s").join(low.withColumnRenamed("u", "s"), "s").select(F.col("t").alias("u"), F.col("m").alias("v"))
+        large = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        edges = written(small.where("u <> v").distinct(), "links")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = now
