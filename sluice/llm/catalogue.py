@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import licenses, mixing, near_dedup, pii, quality_net, quality_rules, topk, toxicity
+from sluice.llm import licenses, mixing, near_dedup, pii, quality_net, quality_rules, substring_dedup, topk, toxicity
 from sluice.llm.common import table
 
 
@@ -44,8 +44,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_dart_minhash, op2_quality_rules, op3_toxicity, op4_exact_topk, op6_quality_classifier, op7_pii, op8_source_mixing, op9_license_scan)
+    f.__name__: f for f in (op1_dart_minhash, op2_quality_rules, op3_toxicity, op4_exact_topk, op6_quality_classifier, op7_pii, op8_source_mixing, op9_license_scan, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op4_exact_topk": topk.ORACLE_SQL}
