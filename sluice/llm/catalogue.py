@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import licenses, mixing, near_dedup, pii, quality_net, quality_rules, substring_dedup, topk, toxicity
+from sluice.llm import licenses, mixing, near_dedup, pii, quality_net, quality_rules, sentencepiece_lattice, substring_dedup, topk, toxicity
 from sluice.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), sentencepiece_lattice.Vocabulary.load())
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_net.score(docs, quality_net.fit(docs, table(spark, sf_dir, "labels")))
@@ -49,7 +53,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_dart_minhash, op2_quality_rules, op3_toxicity, op4_exact_topk, op6_quality_classifier, op7_pii, op8_source_mixing, op9_license_scan, op10_substring_dedup)
+    f.__name__: f for f in (op1_dart_minhash, op2_quality_rules, op3_toxicity, op4_exact_topk, op5_sentencepiece, op6_quality_classifier, op7_pii, op8_source_mixing, op9_license_scan, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op4_exact_topk": topk.ORACLE_SQL}
