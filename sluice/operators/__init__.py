@@ -10,7 +10,9 @@ from sluice.operators.relational import (
     join,
     limit_offset,
     project,
+    salted_join,
     select_where,
+    shard,
     sort,
     sort_key_value,
     tier_merge,
@@ -19,5 +21,5 @@ from sluice.operators.relational import (
 
 __all__ = [
     "adaptive_join", "distinct_estimate", "filter_greater", "filter_mask", "global_aggregate", "hash_aggregate", "join",
-    "limit_offset", "project", "select_where", "sort", "sort_key_value", "tier_merge", "top_n_per_group",
+    "limit_offset", "project", "salted_join", "select_where", "shard", "sort", "sort_key_value", "tier_merge", "top_n_per_group",
 ]

@@ -107,3 +107,25 @@ def tier_merge(delta: DataFrame, base: DataFrame, aggregates: Mapping[str, str |
     """Aggregates over two tiers of one table: each is aggregated partially where it lies, and the parts are merged."""
     both = delta.unionByName(base, allowMissingColumns=True)
     return hash_aggregate(both, list(by), aggregates) if by else global_aggregate(both, aggregates)
+
+
+def shard(df: DataFrame, n: int, by: Sequence[str] = (), kind: str = "round_robin") -> DataFrame:
+    """Deals rows to ``n`` partitions: round robin, by hash of the columns, or by their ranges."""
+    if kind == "round_robin":
+        return df.repartition(n)
+    if not by:
+        raise ValueError(f"{kind} needs columns")
+    return df.repartition(n, *by) if kind == "hash" else df.repartitionByRange(n, *by)
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], salts: int, how: str = "inner") -> DataFrame:
+    """Equi-join for keys of which one holds much of the left side: its rows are dealt over ``salts`` partitions.
+
+    The right side is repeated ``salts`` times, so it should be the smaller one. Joins that keep unmatched rows of the
+    right side would repeat them and are refused.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"{how} joins cannot be salted")
+    a = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)))
+    b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return a.join(b, [*on, "_salt"], how).drop("_salt")

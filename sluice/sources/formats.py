@@ -22,12 +22,15 @@ def parquet_schema(spark: SparkSession, path: str) -> StructType:
     return spark.read.parquet(path).schema
 
 
-def write_parquet(df: DataFrame, path: str, codec: str = "snappy", level: int | None = None, mode: str = "errorifexists") -> None:
+def write_parquet(df: DataFrame, path: str, codec: str = "snappy", level: int | None = None, mode: str = "errorifexists", bloom: tuple[str, ...] = ()) -> None:
+    """``bloom`` names columns that get a membership filter, which scans with an equality consult."""
     if codec.lower() not in CODECS:
         raise EngineError(f"unknown codec {codec}")
     writer = df.write.mode(mode).option("compression", CODECS[codec.lower()])
     if level is not None:
         writer = writer.option("parquet.compression.codec.zstd.level", str(level))
+    for c in bloom:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
     writer.parquet(path)
 
 

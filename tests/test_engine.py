@@ -163,6 +163,9 @@ def test_parse_batch(engine):
     assert not isinstance(good, Exception) and isinstance(bad, Exception)
     with pytest.raises(Exception):
         engine.parse_batch(["SELEC 1 FRM"])
+    seen = []
+    engine.parse_batch(["SELECT 1", "SELECT 2"], each=lambda i, s: seen.append(i))
+    assert seen == [0, 1]
 
 
 def test_literal():
@@ -228,6 +231,7 @@ def test_transaction(engine):
     engine.insert("t", b"c", b"3")  # after the snapshot
     assert tx.get("t", b"b") == b"2" and tx.get("t", b"c") is None and engine.get("t", b"b") is None
     assert [bytes(r["key"]) for r in tx.scan("t").collect()] == [b"a", b"b"]
+    assert tx.sql("SELECT count(*) FROM t").first()[0] == 2 and engine.sql("SELECT count(*) FROM t").first()[0] == 2
     tx.delete("t", b"a")
     assert tx.get("t", b"a") is None
     ts = tx.commit()

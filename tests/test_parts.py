@@ -193,3 +193,32 @@ def test_sources(spark, tmp_path):
         write_encrypted(df, f"{tmp_path}/y", b"short")
     persist_cache(df, f"{tmp_path}/cache")
     assert load_cache(spark, f"{tmp_path}/cache").count() == 2
+
+
+def test_sharding_and_salting(spark):
+    df = spark.range(1000).selectExpr("id", "if(id < 700, 0, id) AS k")
+    assert op.shard(df, 5).rdd.getNumPartitions() == op.shard(df, 5, ["k"], "hash").rdd.getNumPartitions() == 5
+    assert op.shard(df, 4, ["id"], "range").rdd.getNumPartitions() <= 4
+    right = spark.range(0, 900, 3).selectExpr("id AS k", "id * 2 AS v")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert sorted(op.salted_join(df, right, ["k"], 8, how).collect(), key=str) == sorted(df.join(right, ["k"], how).collect(), key=str)
+    with pytest.raises(ValueError):
+        op.salted_join(df, right, ["k"], 8, "right")
+
+
+def test_bloom_filter_is_written(spark, tmp_path):
+    from sluice.sources import write_parquet
+
+    write_parquet(spark.range(1000).selectExpr("cast(id * 7 AS string) AS s"), f"{tmp_path}/b", bloom=("s",))
+    assert spark.read.parquet(f"{tmp_path}/b").where("s = '21'").count() == 1
+
+
+def test_benchmarks(tmp_path):
+    from sluice.benchmark import Benchmarks, Timing
+
+    b = Benchmarks()
+    assert b.run("nothing", lambda: None, 3).runs == 3
+    b.timings = {"a": Timing("a", 1, 1, 1.0, 1), "b": Timing("b", 1, 1, 1.0, 1)}
+    b.save(str(tmp_path / "x.json"))
+    b.timings = {"a": Timing("a", 1, 1, 1.3, 1), "b": Timing("b", 1, 1, 1.1, 1)}
+    assert list(b.regressions(str(tmp_path / "x.json"))) == ["a"]
