@@ -196,8 +196,8 @@ def agg_estimate(spark, folder):  # AGG-22: within 10 per cent of the exact numb
 
 # -- windows, sorting, limits --------------------------------------------------------------------------------------------------
 
-same_sql("win_row_number", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer", "customer")  # WIN-01
-same_sql("win_rank", "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r FROM part", "part")  # WIN-02
+same_sql("win_row_number", "SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS rn FROM customer", "customer")  # WIN-01
+same_sql("win_rank", "SELECT p_partkey, CAST(rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS r FROM part", "part")  # WIN-02
 same_sql("win_avg_partition", "SELECT c_custkey, round(avg(c_acctbal) OVER (PARTITION BY c_nationkey), 4) AS a FROM customer", "customer")  # WIN-03
 same_sql("sort_multi", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderstatus ASC, o_totalprice DESC, o_orderkey", "orders")  # SRT-01
 same_sql("sort_nulls_limit", "SELECT id, a FROM (VALUES (1, 2), (2, NULL), (3, 1)) AS t(id, a) ORDER BY a DESC NULLS FIRST LIMIT 2")  # SRT-02
