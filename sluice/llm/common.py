@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,23 @@ def repeatable(df: DataFrame, name: str) -> DataFrame:
     return df if all(_REPEATABLE.match(line) for line in plan.splitlines() if line.strip()) else written(df, name)
 
 
+def pruned(df: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in ``wanted`` (a column of that name), and a few others, without a shuffle.
+
+    A Bloom filter with one hash: ``bits`` is its size whatever the input's, so at most bits / 64 numbers are broadcast.
+    When it fills up more rows pass; the join that follows sees to the rest.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    at, slot, filled = (free_name(df, n) for n in ("_at", "_slot", "_filled"))
+    one = F.lit(1).cast("long")
+    filter_ = wanted.select(place(F.col(key)).alias(at)).groupBy(F.floor(F.col(at) / 64).cast("long").alias(slot)).agg(
+        F.bit_or(F.call_function("shiftleft", one, (F.col(at) % 64).cast("int"))).alias(filled)
+    )
+    probed = df.withColumn(at, place(F.col(key))).withColumn(slot, F.floor(F.col(at) / 64).cast("long")).join(F.broadcast(filter_), slot)
+    hit = F.call_function("shiftrightunsigned", F.col(filled), (F.col(at) % 64).cast("int")).bitwiseAND(one) == 1
+    return probed.where(hit).drop(at, slot, filled)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or the first variant of it that no column of ``df`` has (names compare without case)."""
     taken = {c.lower() for c in df.columns}
@@ -108,6 +126,17 @@ def slices(texts: Sequence[bytes | None], limit: int = SLICE_BYTES) -> Iterator[
         yield start, len(texts)
 
 
+def text_ranges(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``limit`` bytes of text, without making objects of them."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield start, stop
+        start = stop
+
+
 def split_words(texts: Sequence[bytes | None]) -> tuple[list[bytes], np.ndarray]:
     """All words (runs without ASCII white space) of some texts, and each text's number of words."""
     flat: list[bytes] = []

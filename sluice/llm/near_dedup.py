@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import UINT, binaries, complete_groups, components, free_name, hash_words, mix, repeatable, slices, split_words, window_hashes, written
+from sluice.llm.common import UINT, binaries, complete_groups, components, free_name, hash_words, mix, pruned, repeatable, slices, split_words, window_hashes, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at 0.8 misses all bands with probability (1 - 0.8**ROWS)**BANDS, about 0.0013.
@@ -296,7 +296,7 @@ def _classes(signed: DataFrame, docs: DataFrame) -> DataFrame:
     shared = banded.groupBy("_b").agg(F.min("rep").alias("pivot"), F.count("*").alias("_n")).where("_n > 1")
     members = written(banded.join(shared, "_b"), "near-buckets")
     wanted = members.select("rep").distinct()
-    texts = written(docs.select(F.col("_row").alias("rep"), "text").join(wanted, "rep"), "near-texts")
+    texts = written(pruned(docs.select(F.col("_row").alias("rep"), "text"), "rep", wanted).join(wanted, "rep"), "near-texts")
     links = written(_verified(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), texts), "near-links")
     roots = components(links)
     for forest in (True, False):

@@ -10,7 +10,7 @@ Spark's higher-order ``aggregate``:
   merges: each step takes, of the edges that join two current symbols, the one with the best score, the leftmost of
   equals.
 
-Both give the ids of the SentencePiece library. A boundary set is one 64-bit mask, so the lattice takes segments of
+Both give the ids of the SentencePiece library, a unigram model up to ties within rounding. A boundary set is one 64-bit mask, so the lattice takes segments of
 up to ``LONGEST`` characters; the few longer ones (runs of one kind of character) are encoded by the library itself.
 
 Texts meet their segments without a join of occurrences: the ``CACHED`` most frequent segments go to all workers (a
@@ -23,6 +23,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -38,11 +39,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from sluice.llm.common import binaries, repeatable, slices, written
+from sluice.llm.common import repeatable, text_slices, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-LONGEST, CACHED = 62, 1 << 21
+LONGEST, CACHED = 62, 1 << 20
+_SPACE_BYTES = SPACE.encode()
+_SLICE = 2 << 20
 
 #: Segments: letters with the spaces before them; one digit; other characters with the spaces before them; spaces.
 #: The places for letters that the vocabulary joins to other characters, which count as such, are left open.
@@ -136,8 +139,23 @@ class Vocabulary:
         return self.library.encode("\n" + segment)[2:]  # the space and the line feed, which joins no piece
 
 
-def segments(text: str, find) -> list[str]:
-    return find(" " + text.replace(SPACE, " ")) if text else []
+#: Marks a unit that is a segment already.
+_CUT = "\0"
+
+
+def units(text: str, find) -> list[str]:
+    """A text's parts between single spaces; of a text with other spaces its segments, marked."""
+    if not text:
+        return []
+    text = text.replace(SPACE, " ")
+    if "  " in text or text[0] == " " or _CUT in text:
+        return [_CUT + s for s in find(" " + text)]
+    return text.split(" ")
+
+
+def segments(unit: str, find) -> list[str]:
+    """The segments of a unit."""
+    return [unit[1:]] if unit[:1] == _CUT else find(" " + unit)
 
 
 def _piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
@@ -151,19 +169,32 @@ def _bit(n: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
 
 
+def _lengths(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
+    """prefix, lens: which lengths pieces that begin with three given characters have. No larger than the vocabulary."""
+    lens: dict[str, set[int]] = {}
+    for p in vocabulary.pieces:
+        if len(p) > 2:
+            lens.setdefault(p[:3], set()).add(len(p))
+    return spark.createDataFrame([(p, sorted(n)) for p, n in lens.items()], "prefix string, lens array<int>")
+
+
 def lattices(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``words`` with edges: every substring of a word that is a piece, grouped by word again.
 
-    An edge of a BPE lattice is one number, rank, start and length in that order; of a unigram lattice, stop, start and
-    score. Distinct words that are partitioned by word stay so: grouping needs no second shuffle.
+    Of the substrings from one place only those are exploded whose length some piece with the same first characters
+    has. An edge of a BPE lattice is one number, rank, start and length in that order; of a unigram lattice, stop, start
+    and score. Distinct words that are partitioned by word stay so: grouping needs no second shuffle.
     """
-    pieces = F.broadcast(_piece_table(words.sparkSession, vocabulary))  # bounded by the vocabulary's size
+    spark = words.sparkSession
+    pieces, lengths = F.broadcast(_piece_table(spark, vocabulary)), F.broadcast(_lengths(spark, vocabulary))  # both bounded by the vocabulary
     keys, n = words.columns, F.length("word")
     least = 2 if vocabulary.is_bpe else 1
     starts = words.select(*keys, F.explode_outer(F.when(n >= least, F.sequence(F.lit(0), n - least))).alias("start"))
-    lens = F.sequence(F.lit(least), F.least(F.lit(vocabulary.longest), n - F.col("start")))
-    cut = starts.select(*keys, "start", F.explode_outer(lens).alias("len"))
-    found = cut.select(*keys, "start", "len", F.expr("substring(word, start + 1, len)").alias("piece")).join(pieces, "piece", "left")
+    probed = starts.withColumn("prefix", F.expr("substring(word, start + 1, 3)")).join(lengths, "prefix", "left")
+    short = F.array(*[F.lit(k) for k in range(least, 3)])
+    lens = F.when(F.col("lens").isNull(), short).otherwise(F.concat(short, F.col("lens")))
+    cut = probed.select(*keys, "start", F.explode(lens).alias("len"))
+    found = cut.select(*keys, "start", "len", F.expr("substring(word, start + 1, len)").alias("piece")).where(F.col("start").isNull() | (F.col("start") + F.col("len") <= n)).join(pieces, "piece", "left")
     if vocabulary.is_bpe:  # the first row of a word stays in any case, so that no word is lost
         found = found.where(F.col("rank").isNotNull() | F.col("start").isNull() | ((F.col("start") == 0) & (F.col("len") == least)))
         packed = F.col("rank") * (1 << 16) + F.col("start") * (1 << 8) + F.col("len")
@@ -174,32 +205,58 @@ def lattices(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return known.groupBy(*keys).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
 
-def merged(n: Column, edges: Column) -> Column:
-    """The boundary mask after all merges: a fold that applies the best possible merge in each step."""
+def unpacked(edges: Column) -> Column:
+    """A BPE lattice's edges as masks: the boundaries at their ends, and those inside."""
+
+    def masks(e: Column, i: Column) -> Column:
+        start, size = F.shiftright(e, 8).bitwiseAND(255).cast("int"), e.bitwiseAND(255).cast("int")
+        inner = F.call_function("shiftleft", _bit(size - 1) - 1, start + 1)
+        return F.struct((_bit(start) + _bit(start + size)).alias("ends"), inner.alias("inner"), i.alias("i"))
+
+    return F.transform(edges, masks)
 
-    def unpacked(e: Column) -> Column:
-        start, size = F.floor(e / 256).cast("long") % 256, e % 256
-        inner = F.call_function("shiftleft", _bit(size - 1) - 1, (start + 1).cast("int"))
-        return F.struct((_bit(start) + _bit(start + size)).alias("ends"), inner.alias("inner"))
 
-    pairs = F.transform(edges, unpacked)
+def merged(n: Column, pairs: Column) -> Column:
+    """The boundary mask after all merges: folds in which each merge is the best that is possible then.
+
+    Edges come sorted, the best first, and unpacked, as a column: the folds look at them many times. One pass over them
+    applies each edge that joins two symbols. That is exact unless a merge makes a better edge possible than itself; such
+    words are folded step by step instead, each step searching all edges.
+    """
     full = _bit(n + 1) - 1
 
-    def step(mask: Column, _: Column) -> Column:
-        best = F.get(F.filter(pairs, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1)), F.lit(0))
+    def joins(mask: Column, e: Column) -> Column:
+        return (F.bit_count(mask.bitwiseAND(e["inner"])) == 1) & (mask.bitwiseAND(e["ends"]) == e["ends"])
+
+    def one_pass(state: Column, e: Column) -> Column:
+        after = state["mask"].bitwiseAND(F.bitwise_not(e["inner"]))
+        better = F.exists(pairs, lambda f: (f["i"] < e["i"]) & joins(after, f))
+        return F.when(joins(state["mask"], e), F.struct(after.alias("mask"), (state["again"] | better).alias("again"))).otherwise(state)
+
+    def one_step(mask: Column, _: Column) -> Column:
+        best = F.get(F.filter(pairs, lambda e: joins(mask, e)), F.lit(0))
         return F.coalesce(mask.bitwiseAND(F.bitwise_not(best["inner"])), mask)
 
-    return F.when(F.size(edges) == 0, full).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), full, step))
+    def settled(state: Column) -> Column:
+        steps = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), full, one_step)
+        return F.when(state["again"], steps).otherwise(state["mask"])
+
+    return F.aggregate(pairs, F.struct(full.alias("mask"), F.lit(False).alias("again")), one_pass, settled)
 
 
 def viterbi(n: Column, edges: Column) -> Column:
-    """The boundary mask of the best path: a fold over stops, each with its best score and that path's mask."""
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("mask")))
+    """The boundary mask of the best path: a fold over stops, each with its best score and that path's mask.
+
+    Of equal scores the longer last piece wins, as in the library.
+    """
+    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(1).cast("long").alias("mask")))
 
     def step(best: Column, stop: Column) -> Column:
         here = F.transform(
             F.filter(edges, lambda e: e["stop"] == stop),
-            lambda e: F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), (F.get(best, e["start"])["mask"] + _bit(stop)).alias("mask")),
+            lambda e: F.struct(
+                (F.get(best, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("back"), (F.get(best, e["start"])["mask"] + _bit(stop)).alias("mask")
+            ),
         )
         return F.concat(best, F.array(F.array_max(here)))
 
@@ -208,9 +265,10 @@ def viterbi(n: Column, edges: Column) -> Column:
 
 def boundaries(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``words`` (a column word of 1 to LONGEST characters, spaces as the vocabulary writes them) with mask."""
-    n = F.length("word")
-    fold = merged if vocabulary.is_bpe else viterbi
-    return lattices(words, vocabulary).withColumn("mask", fold(n, F.col("edges"))).drop("edges")
+    n, graphs = F.length("word"), lattices(words, vocabulary)
+    if vocabulary.is_bpe:
+        return graphs.withColumn("_pairs", unpacked(F.col("edges"))).withColumn("mask", merged(n, F.col("_pairs"))).drop("edges", "_pairs")
+    return graphs.withColumn("mask", viterbi(n, F.col("edges"))).drop("edges")
 
 
 def _count_segments(docs: DataFrame, pattern: str) -> DataFrame:
@@ -221,15 +279,20 @@ def _count_segments(docs: DataFrame, pattern: str) -> DataFrame:
         seen: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            keep = [(w.replace(" ", SPACE), n) for w, n in seen.items() if len(w) <= LONGEST]
+            total: Counter = Counter()
+            for unit, n in seen.items():
+                for s in segments(unit, find):
+                    total[s] += n
             seen.clear()
+            keep = [(w.replace(" ", SPACE), n) for w, n in total.items() if len(w) <= LONGEST]
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in keep], pa.string()), pa.array([n for _, n in keep], pa.int64())], names=["word", "n"])
 
         for rb in batches:
-            for t in rb.column("text").to_pylist():
-                if t:
-                    seen.update(segments(t, find))
-                if len(seen) > 500_000:
+            for _, _, texts in text_slices(rb.column("text"), _SLICE):
+                for t in texts:
+                    if t:
+                        seen.update(units(t.decode(), find))
+                if len(seen) > 150_000:
                     yield flush()
         yield flush()
 
@@ -242,46 +305,111 @@ def _digests(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return raw[:, 0].copy(), raw[:, 1].astype(np.uint32)
 
 
+def _picked(codes: np.ndarray, start: np.ndarray, size: np.ndarray, pool: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of ``pool`` that ``codes`` name, one after the other, and each one's length."""
+    n = size[codes]
+    return pool[np.repeat(start[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+
+
+def _starts(size: np.ndarray) -> np.ndarray:
+    return np.cumsum(size) - size
+
+
 class Cache:
-    """Masks of the most frequent words, found by 96 bits of their hash."""
+    """Ids of the most frequent segments, found by 96 bits of their hash."""
 
-    def __init__(self, words: Sequence[str], masks: np.ndarray):
-        key, check = _digests(words) if len(words) else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+    def __init__(self, key: np.ndarray, check: np.ndarray, ids: list[list[int]]):
         order = np.argsort(key, kind="stable")
-        self.key, self.check, self.mask = key[order], check[order], np.asarray(masks, np.int64)[order]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.key, self.check = key[order], check[order]
+        self.pool = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
+        self.start, self.size = _starts(size)[order].astype(np.int32), size[order].astype(np.int16)
 
-    def masks(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's mask, and whether it is known."""
+    @classmethod
+    def of(cls, table: pa.Table, vocabulary: Vocabulary) -> Cache:
+        """From columns word and mask, chunk by chunk."""
+        keys, checks, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], []
+        for b in table.to_batches(max_chunksize=1 << 16):
+            words = b.column("word").to_pylist()
+            if words:
+                key, check = _digests(words)
+                keys.append(key)
+                checks.append(check)
+                ids += [vocabulary.tokens(w, m) for w, m in zip(words, b.column("mask").to_pylist())]
+        return cls(np.concatenate(keys), np.concatenate(checks), ids)
+
+    def find(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's place in the cache, and whether it is there."""
         if not len(words) or not len(self.key):
             return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
         key, check = _digests(words)
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return self.mask[at], (self.key[at] == key) & (self.check[at] == check)
-
-
-def _flattened(codes: np.ndarray, lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """The lists that ``codes`` name, one after the other, and each one's length."""
-    size = np.array([len(x) for x in lists], np.int64)
-    flat = np.array([i for x in lists for i in x], np.int32)
-    start = np.cumsum(size) - size
-    n = size[codes]
-    return flat[np.repeat(start[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+        return at, (self.key[at] == key) & (self.check[at] == check)
+
+
+class Coder:
+    """Ids of texts on a worker. A segment that is not cached leaves a hole, -1, and is listed."""
+
+    def __init__(self, vocabulary: Vocabulary, cache: Cache):
+        self.vocabulary, self.cache = vocabulary, cache
+        self.find = re.compile(vocabulary.segment_pattern).findall
+
+    def coded(self, texts: Sequence[bytes | None]) -> tuple[list[np.ndarray], list[list[str]]]:
+        """Each text's ids and its segments that are not cached, in order."""
+        per = [units(t.decode(), self.find) if t else [] for t in texts]
+        n_units = np.fromiter(map(len, per), np.int64, len(per))
+        named = pa.array([u for x in per for u in x], pa.large_string()).dictionary_encode()
+        parts = [segments(u, self.find) for u in named.dictionary.to_pylist()]
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        spelled = pa.array([s for p in parts for s in p], pa.large_string()).dictionary_encode()
+        seq, n_segments = _picked(named.indices.to_numpy(zero_copy_only=False).astype(np.int64), _starts(size), size, spelled.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+        words = [w.replace(" ", SPACE) for w in spelled.dictionary.to_pylist()]
+        at, known = self.cache.find(words)
+        start, size = np.zeros(len(words), np.int64), np.ones(len(words), np.int64)
+        start[known], size[known] = self.cache.start[at[known]], self.cache.size[at[known]]
+        own: list[int] = [-1]
+        start[~known] = len(self.cache.pool)
+        absent = ~known
+        for i in np.flatnonzero(absent):
+            if len(words[i]) > LONGEST:
+                ids = self.vocabulary.tokens_of_long(words[i].replace(SPACE, " "))
+                start[i], size[i], absent[i] = len(self.cache.pool) + len(own), len(ids), False
+                own += ids
+        ids, n_ids = _picked(seq, start, size, _Joined(self.cache.pool, np.array(own, np.int32)))
+        ends = np.concatenate([[0], np.cumsum(n_segments)])[np.concatenate([[0], np.cumsum(n_units)])]
+        id_ends = np.concatenate([[0], np.cumsum(n_ids)])[ends]
+        holes = np.flatnonzero(absent[seq])
+        cuts = np.searchsorted(holes, ends)
+        return [ids[a:b] for a, b in zip(id_ends[:-1], id_ends[1:])], [[words[c] for c in seq[holes[a:b]]] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+class _Joined:
+    """Two arrays indexed as one, without a copy of the first."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b = a, b
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = self.a[np.minimum(at, len(self.a) - 1)] if len(self.a) else np.zeros(len(at), np.int32)
+        beyond = at >= len(self.a)
+        if beyond.any():
+            out[beyond] = self.b[at[beyond] - len(self.a)]
+        return out
 
 
-def _coded_texts(texts: Sequence[bytes | None], find, cache: Cache, vocabulary: Vocabulary):
-    """Segments' codes and counts of some texts, the distinct segments, and their ids (None: not cached)."""
-    per = [segments(t.decode(), find) if t else [] for t in texts]
-    coded = pa.array([s for x in per for s in x], pa.large_string()).dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    masks, known = cache.masks([w.replace(" ", SPACE) for w in words])
-    lists = [vocabulary.tokens_of_long(w) if len(w) > LONGEST else vocabulary.tokens(w, int(m)) if k else None for w, m, k in zip(words, masks, known)]
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.array([len(x) for x in per], np.int64), words, lists
+def _spelling(ids: Sequence[int], spelled: Sequence[bytes]) -> bytes:
+    return b"".join(map(spelled.__getitem__, ids)).removeprefix(b" ")
 
 
 def decode(ids: Sequence[int], spelled: Sequence[bytes]) -> str:
     """The text of some ids: pieces joined, without the space that encoding put first."""
-    text = b"".join([spelled[i] for i in ids])
-    return (text[1:] if text.startswith(b" ") else text).decode(errors="replace")
+    return _spelling(ids, spelled).decode(errors="replace")
+
+
+def _release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of results that are written: it does when their driver objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, cached: int = CACHED) -> DataFrame:
@@ -291,66 +419,55 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, cached: int = CACHED) -> Dat
     """
     spark = docs.sparkSession
     docs = repeatable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "pieces-docs").withColumn("_row", F.monotonically_increasing_id())
-    pattern = vocabulary.segment_pattern
-    counted = _count_segments(docs, pattern)
-    words = written(boundaries(counted, vocabulary), "pieces-words")
-    frequent = words.orderBy(F.desc("n"), "word").limit(cached).select("word", "mask").toArrow()
-    cache = spark.sparkContext.broadcast(Cache(frequent.column("word").to_pylist(), frequent.column("mask").to_numpy()))
-    del frequent
+    words = written(boundaries(_count_segments(docs, vocabulary.segment_pattern), vocabulary), "pieces-words")
+    _release(spark)
+    cache = spark.sparkContext.broadcast(Cache.of(words.orderBy(F.desc("n"), "word").limit(cached).select("word", "mask").toArrow(), vocabulary))
     model = vocabulary.model
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, find = Vocabulary(model), re.compile(pattern).findall
-        for rb in batches:
-            texts, rows = binaries(rb.column("text")), rb.column("_row").to_numpy()
-            for a, b in slices(texts):
-                codes, counts, spelled, lists = _coded_texts(texts[a:b], find, cache.value, own)
-                absent = np.array([x is None for x in lists], bool)
-                if not absent.any():
-                    continue
-                hit = np.flatnonzero(absent[codes])
-                row = rows[a:b][np.repeat(np.arange(b - a), counts)[hit]]
-                word = pa.array([spelled[c].replace(" ", SPACE) for c in codes[hit]], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.arange(len(hit))), word], names=["_row", "nth", "word"])
+    kind = np.int16 if len(vocabulary.spelled) <= 1 << 15 else np.int32
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, find, pack = Vocabulary(model), re.compile(pattern).findall, zstandard.ZstdCompressor(level=1)
+        coder, pack = Coder(Vocabulary(model), cache.value), zstandard.ZstdCompressor(level=1)
+        for rb in batches:
+            for a, b, texts in text_slices(rb.column("text"), _SLICE):
+                ids, holes = coder.coded(texts)
+                packed = [pack.compress(x.astype(kind).tobytes()) for x in ids]
+                whole = [xxhash.xxh3_64_intdigest((t or b"").replace(_SPACE_BYTES, b" ")) - (1 << 63) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [rb.column("_row")[a:b], rb.column("doc_id")[a:b], pa.array(packed, pa.binary()), pa.array(whole, pa.int64()), pa.array(holes, pa.list_(pa.string()))],
+                    names=["_row", "doc_id", "packed", "whole", "holes"],
+                )
+
+    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            texts = binaries(rb.column("text"))
-            for a, b in slices(texts):
-                codes, counts, spelled, lists = _coded_texts(texts[a:b], find, cache.value, own)
-                flat, n = _flattened(codes, [[-1] if x is None else x for x in lists])
-                ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
-                small = flat.astype(np.int16 if len(own.spelled) <= 1 << 15 else np.int32)
-                packed = [pack.compress(small[x:y].tobytes()) for x, y in zip(ends[:-1], ends[1:])]
-                whole = [xxhash.xxh3_64_intdigest((t or b"").replace(SPACE.encode(), b" ")) - (1 << 63) for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([rb.column("_row")[a:b], rb.column("doc_id")[a:b], pa.array(packed, pa.binary()), pa.array(whole, pa.int64())], names=["_row", "doc_id", "packed", "whole"])
+            holes = rb.column("holes")
+            n = np.diff(holes.offsets.to_numpy())
+            rows = np.repeat(rb.column("_row").to_numpy(), n)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.arange(len(rows))), holes.flatten()], names=["_row", "nth", "word"])
 
     def spliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, unpack = Vocabulary(model), zstandard.ZstdDecompressor()
-        kind = np.int16 if len(own.spelled) <= 1 << 15 else np.int32
         for rb in batches:
             rows, same = [], []
             for packed, whole, patches in zip(rb.column("packed").to_pylist(), rb.column("whole").to_pylist(), rb.column("patches").to_pylist()):
                 ids = np.frombuffer(unpack.decompress(packed), kind).astype(np.int32)
                 if patches:
-                    holes = np.flatnonzero(ids < 0)
-                    fill = [own.tokens(p["word"].replace(SPACE, " "), p["mask"]) for p in patches]
+                    fill = [own.tokens(p["word"], p["mask"]) for p in patches]
                     parts, at = [], 0
-                    for h, f in zip(holes, fill, strict=True):
+                    for h, f in zip(np.flatnonzero(ids < 0), fill, strict=True):
                         parts += [ids[at:h], np.array(f, np.int32)]
                         at = h + 1
                     ids = np.concatenate([*parts, ids[at:]])
                 rows.append(ids)
-                same.append(xxhash.xxh3_64_intdigest(decode(ids, own.spelled).encode()) - (1 << 63) == whole)
+                same.append(xxhash.xxh3_64_intdigest(_spelling(ids.tolist(), own.spelled)) - (1 << 63) == whole)
             n = np.array([len(r) for r in rows], np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), lists, pa.array(n), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "round_trip"])
 
-    missing = docs.select("_row", "text").mapInArrow(rare, "_row long, nth long, word string").join(words.select("word", "mask"), "word")
-    patches = missing.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("nth", "word", "mask"))).alias("patches"))
-    codes = docs.select("_row", "doc_id", "text").mapInArrow(coded, "_row long, doc_id long, packed binary, whole long")
-    return codes.join(patches, "_row", "left").select("doc_id", "packed", "whole", "patches").mapInArrow(spliced, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
+    # both sides of the join read one shuffle: each takes all columns, so that neither prunes it
+    dealt = docs.select("_row", "doc_id", "text").mapInArrow(coded, "_row long, doc_id long, packed binary, whole long, holes array<string>").repartition("_row")
+    found = dealt.mapInArrow(missing, "_row long, nth long, word string").join(words.select("word", "mask"), "word")
+    patches = found.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("nth", "word", "mask"))).alias("patches"))
+    return dealt.join(patches, "_row", "left").mapInArrow(spliced, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decoded(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
