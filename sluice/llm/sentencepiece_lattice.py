@@ -32,6 +32,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 import zstandard
@@ -39,13 +40,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from sluice.llm.common import repeatable, text_slices, written
+from sluice.llm.common import binaries, repeatable, text_ranges, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONGEST, CACHED = 62, 1 << 20
 _SPACE_BYTES = SPACE.encode()
-_SLICE = 2 << 20
+_SLICE = 3 << 20
 
 #: Segments: letters with the spaces before them; one digit; other characters with the spaces before them; spaces.
 #: The places for letters that the vocabulary joins to other characters, which count as such, are left open.
@@ -143,14 +144,27 @@ class Vocabulary:
 _CUT = "\0"
 
 
-def units(text: str, find) -> list[str]:
-    """A text's parts between single spaces; of a text with other spaces its segments, marked."""
-    if not text:
-        return []
-    text = text.replace(SPACE, " ")
-    if "  " in text or text[0] == " " or _CUT in text:
-        return [_CUT + s for s in find(" " + text)]
-    return text.split(" ")
+def units(texts: pa.Array, find) -> tuple[pa.Array, np.ndarray]:
+    """The texts' parts between single spaces, and each text's number of them.
+
+    Arrow splits texts whose spaces are single and inside; of any other text the segments are units, marked.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.or_(pc.match_substring(texts, SPACE), pc.match_substring(texts, _CUT)))
+    odd = pc.or_(odd, pc.equal(texts, "")).to_numpy(zero_copy_only=False)
+    plain = pc.split_pattern(pc.if_else(pa.array(~odd), texts, ""), " ")
+    if not odd.any():
+        return plain.flatten(), pc.list_value_length(plain).to_numpy().astype(np.int64)
+    own = {i: [_CUT + s for s in find(" " + texts[i].as_py().replace(SPACE, " "))] if len(texts[i].as_py()) else [] for i in np.flatnonzero(odd)}
+    counts = pc.list_value_length(plain).to_numpy().astype(np.int64)
+    values, ends = plain.flatten(), np.cumsum(counts)
+    parts, at = [], 0
+    for i, u in own.items():
+        parts += [values.slice(at, ends[i] - counts[i] - at), pa.array(u, pa.large_string())]
+        at = ends[i]
+        counts[i] = len(u)
+    parts.append(values.slice(at))
+    return pa.concat_arrays(parts), counts
 
 
 def segments(unit: str, find) -> list[str]:
@@ -288,11 +302,11 @@ def _count_segments(docs: DataFrame, pattern: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in keep], pa.string()), pa.array([n for _, n in keep], pa.int64())], names=["word", "n"])
 
         for rb in batches:
-            for _, _, texts in text_slices(rb.column("text"), _SLICE):
-                for t in texts:
-                    if t:
-                        seen.update(units(t.decode(), find))
-                if len(seen) > 150_000:
+            for a, b in text_ranges(rb.column("text"), _SLICE):
+                counted = units(rb.column("text").slice(a, b - a), find)[0].value_counts()
+                for unit, n in zip(counted.field("values").to_pylist(), counted.field("counts").to_pylist()):
+                    seen[unit] += n
+                if len(seen) > 300_000:
                     yield flush()
         yield flush()
 
@@ -301,7 +315,7 @@ def _count_segments(docs: DataFrame, pattern: str) -> DataFrame:
 
 def _digests(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """64 and 32 bits of each word's hash."""
-    raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w.encode()) for w in words), np.uint64).reshape(-1, 2)
+    raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
     return raw[:, 0].copy(), raw[:, 1].astype(np.uint32)
 
 
@@ -332,7 +346,7 @@ class Cache:
         for b in table.to_batches(max_chunksize=1 << 16):
             words = b.column("word").to_pylist()
             if words:
-                key, check = _digests(words)
+                key, check = _digests([w.replace(SPACE, " ") for w in words])
                 keys.append(key)
                 checks.append(check)
                 ids += [vocabulary.tokens(w, m) for w, m in zip(words, b.column("mask").to_pylist())]
@@ -350,20 +364,19 @@ class Cache:
 class Coder:
     """Ids of texts on a worker. A segment that is not cached leaves a hole, -1, and is listed."""
 
-    def __init__(self, vocabulary: Vocabulary, cache: Cache):
+    def __init__(self, vocabulary: Vocabulary, cache: Cache, pattern: str | None = None):
         self.vocabulary, self.cache = vocabulary, cache
-        self.find = re.compile(vocabulary.segment_pattern).findall
+        self.find = re.compile(pattern or vocabulary.segment_pattern).findall
 
-    def coded(self, texts: Sequence[bytes | None]) -> tuple[list[np.ndarray], list[list[str]]]:
+    def coded(self, texts: pa.Array) -> tuple[list[np.ndarray], list[list[str]]]:
         """Each text's ids and its segments that are not cached, in order."""
-        per = [units(t.decode(), self.find) if t else [] for t in texts]
-        n_units = np.fromiter(map(len, per), np.int64, len(per))
-        named = pa.array([u for x in per for u in x], pa.large_string()).dictionary_encode()
+        all_units, n_units = units(texts, self.find)
+        named = all_units.dictionary_encode()
         parts = [segments(u, self.find) for u in named.dictionary.to_pylist()]
         size = np.fromiter(map(len, parts), np.int64, len(parts))
         spelled = pa.array([s for p in parts for s in p], pa.large_string()).dictionary_encode()
-        seq, n_segments = _picked(named.indices.to_numpy(zero_copy_only=False).astype(np.int64), _starts(size), size, spelled.indices.to_numpy(zero_copy_only=False).astype(np.int64))
-        words = [w.replace(" ", SPACE) for w in spelled.dictionary.to_pylist()]
+        seq, n_segments = _picked(named.indices.to_numpy(zero_copy_only=False), _starts(size), size, spelled.indices.to_numpy(zero_copy_only=False))
+        words = spelled.dictionary.to_pylist()
         at, known = self.cache.find(words)
         start, size = np.zeros(len(words), np.int64), np.ones(len(words), np.int64)
         start[known], size[known] = self.cache.start[at[known]], self.cache.size[at[known]]
@@ -372,7 +385,7 @@ class Coder:
         absent = ~known
         for i in np.flatnonzero(absent):
             if len(words[i]) > LONGEST:
-                ids = self.vocabulary.tokens_of_long(words[i].replace(SPACE, " "))
+                ids = self.vocabulary.tokens_of_long(words[i])
                 start[i], size[i], absent[i] = len(self.cache.pool) + len(own), len(ids), False
                 own += ids
         ids, n_ids = _picked(seq, start, size, _Joined(self.cache.pool, np.array(own, np.int32)))
@@ -380,7 +393,8 @@ class Coder:
         id_ends = np.concatenate([[0], np.cumsum(n_ids)])[ends]
         holes = np.flatnonzero(absent[seq])
         cuts = np.searchsorted(holes, ends)
-        return [ids[a:b] for a, b in zip(id_ends[:-1], id_ends[1:])], [[words[c] for c in seq[holes[a:b]]] for a, b in zip(cuts[:-1], cuts[1:])]
+        lists = [[words[c].replace(" ", SPACE) for c in seq[holes[a:b]]] for a, b in zip(cuts[:-1], cuts[1:])]
+        return [ids[a:b] for a, b in zip(id_ends[:-1], id_ends[1:])], lists
 
 
 class _Joined:
@@ -419,19 +433,21 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, cached: int = CACHED) -> Dat
     """
     spark = docs.sparkSession
     docs = repeatable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "pieces-docs").withColumn("_row", F.monotonically_increasing_id())
-    words = written(boundaries(_count_segments(docs, vocabulary.segment_pattern), vocabulary), "pieces-words")
+    pattern = vocabulary.segment_pattern
+    words = written(boundaries(_count_segments(docs, pattern), vocabulary), "pieces-words")
     _release(spark)
     cache = spark.sparkContext.broadcast(Cache.of(words.orderBy(F.desc("n"), "word").limit(cached).select("word", "mask").toArrow(), vocabulary))
     model = vocabulary.model
     kind = np.int16 if len(vocabulary.spelled) <= 1 << 15 else np.int32
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, pack = Coder(Vocabulary(model), cache.value), zstandard.ZstdCompressor(level=1)
+        coder, pack = Coder(Vocabulary(model), cache.value, pattern), zstandard.ZstdCompressor(level=1)
         for rb in batches:
-            for a, b, texts in text_slices(rb.column("text"), _SLICE):
+            for a, b in text_ranges(rb.column("text"), _SLICE):
+                texts = rb.column("text").slice(a, b - a)
                 ids, holes = coder.coded(texts)
                 packed = [pack.compress(x.astype(kind).tobytes()) for x in ids]
-                whole = [xxhash.xxh3_64_intdigest((t or b"").replace(_SPACE_BYTES, b" ")) - (1 << 63) for t in texts]
+                whole = [xxhash.xxh3_64_intdigest((t or b"").replace(_SPACE_BYTES, b" ")) - (1 << 63) for t in binaries(texts)]
                 yield pa.RecordBatch.from_arrays(
                     [rb.column("_row")[a:b], rb.column("doc_id")[a:b], pa.array(packed, pa.binary()), pa.array(whole, pa.int64()), pa.array(holes, pa.list_(pa.string()))],
                     names=["_row", "doc_id", "packed", "whole", "holes"],
@@ -446,9 +462,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, cached: int = CACHED) -> Dat
 
     def spliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, unpack = Vocabulary(model), zstandard.ZstdDecompressor()
+        size = np.fromiter(map(len, own.spelled), np.int64, len(own.spelled))
+        start, pool = _starts(size), np.frombuffer(b"".join(own.spelled), np.uint8)
         for rb in batches:
-            rows, same = [], []
-            for packed, whole, patches in zip(rb.column("packed").to_pylist(), rb.column("whole").to_pylist(), rb.column("patches").to_pylist()):
+            rows = []
+            for packed, patches in zip(rb.column("packed").to_pylist(), rb.column("patches").to_pylist()):
                 ids = np.frombuffer(unpack.decompress(packed), kind).astype(np.int32)
                 if patches:
                     fill = [own.tokens(p["word"], p["mask"]) for p in patches]
@@ -458,9 +476,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, cached: int = CACHED) -> Dat
                         at = h + 1
                     ids = np.concatenate([*parts, ids[at:]])
                 rows.append(ids)
-                same.append(xxhash.xxh3_64_intdigest(_spelling(ids.tolist(), own.spelled)) - (1 << 63) == whole)
             n = np.array([len(r) for r in rows], np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
+            flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            same = []
+            for a, b, whole in zip(ends[:-1], ends[1:], rb.column("whole").to_pylist()):
+                text = _picked(flat[a:b], start, size, pool)[0].tobytes().removeprefix(b" ")
+                same.append(xxhash.xxh3_64_intdigest(text) - (1 << 63) == whole)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), lists, pa.array(n), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "round_trip"])
 
     # both sides of the join read one shuffle: each takes all columns, so that neither prunes it
