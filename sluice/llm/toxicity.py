@@ -30,10 +30,10 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import held_out, labelled_sample, slices
+from sluice.llm.common import UINT, held_out, labelled_sample, mix, slices
 
 #: Sample bound; words a window; bytes of the shared part and of the heads; least score of a fragment.
-PER_CLASS, WINDOW, SHARED, HEAD, LEAST = 2500, 2, 1024, 600, 8.0
+PER_CLASS, WINDOW, SHARED, HEAD, LEAST = 2000, 2, 1024, 600, 8.0
 THRESHOLD = 0.3
 #: Above this score a pipeline stage rejects a text.
 REJECT = 0.4
@@ -49,27 +49,39 @@ def windows(words: Sequence[bytes]) -> list[bytes]:
     return [b" ".join(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW)]
 
 
-def _fragments(texts: Sequence[list[bytes]]) -> tuple[Counter, int]:
+def _fragments(texts: Sequence[str]) -> tuple[Counter, int]:
     """How many distinct contexts (a word and its neighbours) each word and word beginning has."""
-    contexts = set()
-    for w in texts:
-        contexts.update(zip([b"", *w[:-1]], w, [*w[1:], b""]))
+    flat, counts = [], []
+    spelled: dict[bytes, int] = {}
+    for t in texts:
+        ws = words_of(t)
+        counts.append(len(ws))
+        flat.append(np.fromiter((spelled.setdefault(w, len(spelled) + 1) for w in ws), np.int64, len(ws)))
+    codes = np.concatenate([np.zeros(0, np.int64), *flat])
+    ends = np.cumsum(np.array(counts, np.int64))
+    before, after = np.concatenate([[0], codes[:-1]])[: len(codes)], np.concatenate([codes[1:], [0]])[: len(codes)]
+    if len(codes):
+        before[(ends - counts)[np.array(counts) > 0]] = 0
+        after[ends[np.array(counts) > 0] - 1] = 0
+    seen = mix(mix(mix(before.astype(UINT)) ^ codes.astype(UINT)) ^ after.astype(UINT))
+    _, first = np.unique(seen, return_index=True)
+    times = np.bincount(codes[first], minlength=len(spelled) + 1)
     count: Counter = Counter()
-    for _, w, _ in contexts:
-        count[b" " + w + b" "] += 1
+    for w, k in zip(spelled, times[1:].tolist()):
+        count[b" " + w + b" "] += k
         u = w.decode(errors="ignore")
         for i in range(3, min(9, len(u))):
-            count[b" " + u[:i].encode()] += 1
-    return count, len(contexts)
+            count[b" " + u[:i].encode()] += k
+    return count, len(first)
 
 
-def distinctive(own: Sequence[list[bytes]], other: Sequence[list[bytes]], size: int = HEAD) -> bytes:
+def distinctive(own: tuple[Counter, int], other: tuple[Counter, int], size: int = HEAD) -> bytes:
     """Fragments that ``own`` has oftener than ``other`` by standard deviations, the strongest last."""
-    (a, n), (b, m) = _fragments(own), _fragments(other)
+    (a, n), (b, m) = own, other
     scored = []
     for f, k in a.items():
         if k >= 5:
-            p = (k + b[f]) / (n + m)
+            p = (k + b.get(f, 0)) / (n + m)
             scored.append(((k - n * p) / math.sqrt(max(n * p * (1 - p), 1e-9)), f))
     scored.sort(key=lambda x: (-x[0], x[1]))
     least = max(LEAST, 0.3 * scored[0][0]) if scored else LEAST
@@ -157,23 +169,26 @@ class Model:
 def train(sample: Sequence[tuple[int, str, int]], n_toxic: int, n_ordinary: int) -> Model:
     """Fits dictionaries and thresholds on (id, text, label); the counts are of all labels that may be learnt from."""
     share = n_toxic / max(1, n_toxic + n_ordinary)
-    toxic = [words_of(t) for _, t, y in sample if y]
-    ordinary = [words_of(t) for _, t, y in sample if not y]
-    plain = [w for ws in ordinary for w in windows(ws)]
-    if not toxic or len(plain) < 2000:
+    toxic, ordinary = [t for _, t, y in sample if y], [t for _, t, y in sample if not y]
+    total = sum(len(words_of(t)) for t in ordinary) // WINDOW
+    if not toxic or total < 2000:
         return Model(None, share)
-    step = max(1, len(plain) // 40_000)
-    # samples of four windows each: the dictionary trainer wants some length
-    samples = [b" ".join(plain[i : i + 4]) for i in range(0, len(plain) - 4, 4 * step)]
+    # samples of four windows each, evenly from all texts: the dictionary trainer wants some length
+    step, samples = max(1, total // 40_000), []
+    for t in ordinary:
+        wins = windows(words_of(t))
+        samples += [b" ".join(wins[i : i + 4]) for i in range(0, len(wins) - 3, 4 * step)]
     trained = zstd.train_dictionary(SHARED + HEAD + 1024, samples).as_bytes()
     shared, filler = trained[-SHARED:], trained[-SHARED - HEAD : -SHARED]
-    head = distinctive(toxic, ordinary)
+    a, b = _fragments(toxic), _fragments(ordinary)
+    head, own = distinctive(a, b), distinctive(b, a)
+    del a, b
     if not head:
         return Model(None, share)
-    own = distinctive(ordinary, toxic)[-len(head):]
+    own = own[-len(head):]
     model = Model((shared, head, (filler + own)[-len(head):]), share)
     y = np.array([s[2] for s in sample], float)
-    x = expanded(model.table([s[1] for s in sample]))
+    x = expanded(np.vstack([model.table([s[1] for s in sample[i : i + 200]]) for i in range(0, len(sample), 200)]))
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
     x = np.hstack([(x - model.mean) / model.scale, np.ones((len(x), 1))])
     weight = np.where(y == 1, n_toxic / max(1, len(toxic)), n_ordinary / max(1, len(ordinary)))
