@@ -320,7 +320,7 @@ def _membership(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = signed.select("_row", "doc_id", "h1", "h2").join(classes, ["h1", "h2"], "left")
     member = written(rows.select("_row", "doc_id", F.coalesce("cls", "_row").alias("cls")), "near-members")
     first = member.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "_row")).alias("first"), F.count("*").alias("class_size"))
-    return member, first
+    return member, written(first, "near-classes")  # a table of its own: the join with a hot class can then be split
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
