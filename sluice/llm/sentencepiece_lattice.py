@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import gc
 import re
+import time
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -44,7 +45,7 @@ from sluice.llm.common import binaries, repeatable, text_ranges, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-LONGEST, CACHED = 62, 1 << 20
+LONGEST, CACHED = 62, 1 << 21
 _SPACE_BYTES = SPACE.encode()
 _SLICE = 3 << 20
 
@@ -302,11 +303,11 @@ def _count_segments(docs: DataFrame, pattern: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in keep], pa.string()), pa.array([n for _, n in keep], pa.int64())], names=["word", "n"])
 
         for rb in batches:
-            for a, b in text_ranges(rb.column("text"), _SLICE):
+            for a, b in text_ranges(rb.column("text"), 2 * _SLICE):
                 counted = units(rb.column("text").slice(a, b - a), find)[0].value_counts()
                 for unit, n in zip(counted.field("values").to_pylist(), counted.field("counts").to_pylist()):
                     seen[unit] += n
-                if len(seen) > 300_000:
+                if len(seen) > 400_000:
                     yield flush()
         yield flush()
 
@@ -422,8 +423,10 @@ def decode(ids: Sequence[int], spelled: Sequence[bytes]) -> str:
 
 def _release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of results that are written: it does when their driver objects are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees lets go of more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, cached: int = CACHED) -> DataFrame:
