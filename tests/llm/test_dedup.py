@@ -69,7 +69,6 @@ def test_deduplicate(make, family):
     docs = make(family + family[:10], list(range(len(family))) + list(range(10)))
     kept = near_dedup.deduplicate(docs)
     assert kept.columns == docs.columns
-    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(classes(family)) | set()) or True
     ids = [x["doc_id"] for x in kept.collect()]
     wordless = sum(not (t or "").split() for t in family[:10])
     assert len(ids) == len(set(classes(family))) + wordless
