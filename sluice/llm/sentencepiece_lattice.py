@@ -47,7 +47,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONGEST, CACHED = 62, 1 << 21
 _SPACE_BYTES = SPACE.encode()
-_SLICE = 3 << 20
+_SLICE = 2 << 20
+BATCH_ROWS = 1000
 
 #: Segments: letters with the spaces before them; one digit; other characters with the spaces before them; spaces.
 #: The places for letters that the vocabulary joins to other characters, which count as such, are left open.
@@ -303,11 +304,11 @@ def _count_segments(docs: DataFrame, pattern: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in keep], pa.string()), pa.array([n for _, n in keep], pa.int64())], names=["word", "n"])
 
         for rb in batches:
-            for a, b in text_ranges(rb.column("text"), 2 * _SLICE):
+            for a, b in text_ranges(rb.column("text"), _SLICE):
                 counted = units(rb.column("text").slice(a, b - a), find)[0].value_counts()
                 for unit, n in zip(counted.field("values").to_pylist(), counted.field("counts").to_pylist()):
                     seen[unit] += n
-                if len(seen) > 400_000:
+                if len(seen) > 100_000:
                     yield flush()
         yield flush()
 
@@ -432,9 +433,12 @@ def _release(spark: SparkSession) -> None:
 def encode(docs: DataFrame, vocabulary: Vocabulary, cached: int = CACHED) -> DataFrame:
     """doc_id, ids, n_tokens, round_trip (whether decoding gives the text again) for each row.
 
-    Broadcasts the model's pieces and at most ``cached`` words' hashes and masks (20 bytes each).
+    Broadcasts the model's pieces and at most ``cached`` segments' hashes and ids (some 30 bytes each). Sets the session's
+    rows an Arrow batch to ``BATCH_ROWS`` where it has Spark's default, since whole texts travel.
     """
     spark = docs.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     docs = repeatable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "pieces-docs").withColumn("_row", F.monotonically_increasing_id())
     pattern = vocabulary.segment_pattern
     words = written(boundaries(_count_segments(docs, pattern), vocabulary), "pieces-words")
