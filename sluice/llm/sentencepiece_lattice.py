@@ -334,25 +334,26 @@ def _starts(size: np.ndarray) -> np.ndarray:
 class Cache:
     """Ids of the most frequent segments, found by 96 bits of their hash."""
 
-    def __init__(self, key: np.ndarray, check: np.ndarray, ids: list[list[int]]):
+    def __init__(self, key: np.ndarray, check: np.ndarray, size: np.ndarray, pool: np.ndarray):
+        """``pool`` holds the segments' ids one after the other, ``size`` how many each has."""
         order = np.argsort(key, kind="stable")
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.key, self.check = key[order], check[order]
-        self.pool = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
+        self.key, self.check, self.pool = key[order], check[order], pool
         self.start, self.size = _starts(size)[order].astype(np.int32), size[order].astype(np.int16)
 
     @classmethod
     def of(cls, table: pa.Table, vocabulary: Vocabulary) -> Cache:
-        """From columns word and mask, chunk by chunk."""
-        keys, checks, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], []
+        """From columns word and mask, chunk by chunk: only one chunk's ids are ever Python objects."""
+        keys, checks, sizes, pools = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for b in table.to_batches(max_chunksize=1 << 16):
             words = b.column("word").to_pylist()
             if words:
                 key, check = _digests([w.replace(SPACE, " ") for w in words])
                 keys.append(key)
                 checks.append(check)
-                ids += [vocabulary.tokens(w, m) for w, m in zip(words, b.column("mask").to_pylist())]
-        return cls(np.concatenate(keys), np.concatenate(checks), ids)
+                ids = [vocabulary.tokens(w, m) for w, m in zip(words, b.column("mask").to_pylist())]
+                sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                pools.append(np.fromiter((i for x in ids for i in x), np.int32, int(sizes[-1].sum())))
+        return cls(np.concatenate(keys), np.concatenate(checks), np.concatenate(sizes), np.concatenate(pools))
 
     def find(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each word's place in the cache, and whether it is there."""
