@@ -239,7 +239,7 @@ def merged(n: Column, pairs: Column) -> Column:
     applies each edge that joins two symbols. That is exact unless a merge makes a better edge possible than itself; such
     words are folded step by step instead, each step searching all edges.
     """
-    full = _bit(n + 1) - 1
+    full = (_bit(n) - 1) * 2 + 1  # bits 0 to n; bit 63 would overflow
 
     def joins(mask: Column, e: Column) -> Column:
         return (F.bit_count(mask.bitwiseAND(e["inner"])) == 1) & (mask.bitwiseAND(e["ends"]) == e["ends"])
