@@ -1,8 +1,8 @@
 """License scans by a positional rare-token index, in DataFrame operations only.
 
 Words are lower-cased runs of letters, digits and non-ASCII characters. Each template (a licence notice) is indexed
-by its rarest words, rarity being the inverse document frequency over the whole table. A file looks up its rarest
-index words; the postings give (template, position in template), and those that agree in the difference of positions
+by its rarest words, rarity being the inverse document frequency over the whole table. A file looks up all the index
+words it has; the postings give (template, position in template), and those that agree in the difference of positions
 vote for one placement. A placement with enough votes is verified: the template's mandatory key phrase has to
 stand there word by word. Its score is the share of the template's words that stand where it puts them.
 
@@ -44,8 +44,8 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
 )
 
-#: Index words a template, index words a file looks up, votes a placement needs.
-INDEX_WORDS, FILE_WORDS, VOTES = 4, 8, 2
+#: Index words a template, votes a placement needs.
+INDEX_WORDS, VOTES = 4, 2
 
 VOCABULARY = tuple(sorted({w for _, text, _ in TEMPLATES for w in text.split()} | {w for p, _ in BASE for w in p.split()}))
 _CODE = {w: i for i, w in enumerate(VOCABULARY)}
@@ -122,15 +122,9 @@ def index(idf: list[float], size: int = INDEX_WORDS) -> dict[int, list[tuple[int
 
 
 def placements(found: DataFrame, idf: list[float]) -> DataFrame:
-    """_row, template, offset (may be negative): where enough of the file's rarest index words agree."""
+    """_row, template, offset (may be negative): where enough of the index words agree."""
     postings = index(idf)
-    codes = sorted(postings, key=lambda c: (-idf[c], c))  # the rarest first
-    code_of = F.array(*[F.lit(c).cast("long") for c in codes])
-    present = F.array_distinct(F.transform("hits", lambda h: h % _STEP))
-    ranks = F.filter(F.transform(present, lambda c: F.array_position(code_of, c)), lambda r: r > 0)
-    own = F.transform(F.slice(F.array_sort(ranks), 1, FILE_WORDS), lambda r: F.get(code_of, (r - 1).cast("int")))
-    looked = found.select("_row", "hits", own.alias("_own")).where(F.size("_own") > 0)
-    rows = looked.select("_row", F.explode(F.filter("hits", lambda h: F.exists("_own", lambda c: c == h % _STEP))).alias("_h"))
+    rows = found.select("_row", F.explode(F.filter("hits", lambda h: (h % _STEP).isin(*sorted(postings)))).alias("_h"))
     entries = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings.get(c, [])]).cast("array<struct<t:int,p:int>>") for c in range(len(VOCABULARY))])
     votes = rows.select("_row", F.floor(F.col("_h") / _STEP).cast("long").alias("_pos"), F.explode(F.get(entries, (F.col("_h") % _STEP).cast("int"))).alias("_e"))
     need = F.array(*[F.lit(min(VOTES, len(text.split()))) for _, text, _ in TEMPLATES])
