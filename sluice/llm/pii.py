@@ -4,7 +4,9 @@ The fixed patterns find e-mail addresses, IP addresses, card and phone numbers.
 credentials, are the seeds of the bootstrap. Each seed and each other identifier-like token is an instance; the two
 words before it are its lexical pattern. Spark scores the bipartite graph of patterns and instances in rounds: a
 pattern is worth the share of its distinct instances that are believed in, an instance is believed in as far as its
-patterns are. Patterns with enough support and a high share then extract the instances that no fixed pattern knows.
+patterns are. Patterns with enough support and a high share then extract the instances that no fixed pattern knows,
+at each place where they stand, with words before it or without. Tokens of fewer than 8 characters or 4 digits are no
+instances, whatever stands before them.
 
 Defined results: a null text counts as empty; an empty text has no spans and the digest of the empty string;
 repeated rows each get a row; an empty table gives an empty result; other columns are ignored (``find``) or kept
@@ -90,7 +92,7 @@ def context(text: str, start: int) -> str:
 
 
 def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int, str]]:
-    """Instances of a text: pattern, hash of the identifier, start, end, and the kind if it is a seed, else ''."""
+    """Instances of a text: pattern ('' without words before it), hash of the identifier, start, end, and the kind if it is a seed, else ''."""
     out = [(context(text, a), a, b, k) for k, a, b in spans]
     at = 0
     for m in _DIGIT.finditer(text):
@@ -112,7 +114,7 @@ def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str,
         if any(x < b and a < y for _, x, y in spans):
             continue
         out.append((context(text, a), a, b, "secret" if _HEX.fullmatch(core) else ""))
-    return [(p, _instance(text, a, b), a, b, k) for p, a, b, k in out if p]
+    return [(p, _instance(text, a, b), a, b, k) for p, a, b, k in out]
 
 
 def _instance(text: str, a: int, b: int) -> int:
@@ -151,7 +153,7 @@ def scan(docs: DataFrame, row: str = "_row") -> DataFrame:
 def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Scores the graph of patterns and instances. Returns inst, kind of the instances that strong patterns extract."""
     occurrences = found.select(F.explode("cands").alias("c")).select("c.*")
-    edges = written(occurrences.groupBy("pattern", "inst").agg(F.max("seed").alias("seed")), "pii-edges")
+    edges = written(occurrences.where("pattern <> ''").groupBy("pattern", "inst").agg(F.max("seed").alias("seed")), "pii-edges")
     seeds = edges.groupBy("inst").agg(F.max("seed").alias("seed"))
     believed = seeds.select("inst", "seed", (F.col("seed") != "").cast("double").alias("s"))
     for _ in range(rounds):
