@@ -10,11 +10,14 @@ Spark's higher-order ``aggregate``:
   merges: each step takes, of the edges that join two current symbols, the one with the best score, the leftmost of
   equals.
 
-Both give the ids of the SentencePiece library, a unigram model up to ties within rounding. A boundary set is one 64-bit mask, so the lattice takes segments of
-up to ``LONGEST`` characters; the few longer ones (runs of one kind of character) are encoded by the library itself.
+Both give the ids of the SentencePiece library, a unigram model up to ties within rounding. A boundary set is one
+64-bit mask, so the lattice takes segments of up to ``LONGEST`` characters; the few longer ones (runs of one kind of
+character) are encoded by the library itself, so no text is left out.
 
-Texts meet their segments without a join of occurrences: the ``CACHED`` most frequent segments go to all workers (a
-bounded table of hashes and masks), and only occurrences of other segments are joined, by segment and back by row.
+Texts meet their segments without a join of occurrences. Texts are cut into slices of some megabytes, and a slice is
+kept as its table of distinct segments and its texts as numbers in that table. The tables are shuffled once by segment,
+which both finds the distinct segments of all slices and joins the lattice's result to each, and once more by slice.
+A segment stands at most once a slice, so no key is hot, however frequent the segment.
 
 Defined results: null and empty texts have no ids; characters outside the vocabulary become byte pieces; the character
 U+2581 is a space to the model, and decodes to one; repeated rows each get a row; an empty table gives an empty
@@ -23,10 +26,8 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
+import pickle
 import re
-import time
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
@@ -37,18 +38,21 @@ import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from sluice.llm.common import binaries, repeatable, text_ranges, written
+from sluice.llm.common import binaries, text_ranges
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-LONGEST, CACHED = 62, 1 << 21
+LONGEST = 62
 _SPACE_BYTES = SPACE.encode()
-_SLICE = 2 << 20
-BATCH_ROWS = 1000
+#: Text bytes of a slice, text bytes whose segments make a task of the lattice, segments that a worker turns into ids at a time.
+SLICE, TASK_BYTES, CODES = 24 << 20, 8 << 20, 1 << 18
+#: Distinct segments that a worker holds as Python objects or spells out at a time.
+CHUNK = 1 << 16
 
 #: Segments: letters with the spaces before them; one digit; other characters with the spaces before them; spaces.
 #: The places for letters that the vocabulary joins to other characters, which count as such, are left open.
@@ -122,19 +126,6 @@ class Vocabulary:
     def library(self) -> sentencepiece.SentencePieceProcessor:
         return sentencepiece.SentencePieceProcessor(model_proto=self.model)
 
-    def tokens(self, segment: str, mask: int) -> list[int]:
-        """Ids of a segment whose token boundaries are the mask's bits."""
-        out, a, s = [], 0, segment.replace(" ", SPACE)
-        for b in range(1, len(s) + 1):
-            if mask >> b & 1:
-                i = self.ids.get(s[a:b])
-                if i is None:
-                    out += [self.byte_ids[x] for x in s[a:b].encode()]
-                else:
-                    out.append(i)
-                a = b
-        return out
-
     def tokens_of_long(self, segment: str) -> list[int]:
         """Ids of a segment beyond the lattice's length, from the library."""
         if segment.startswith(" "):  # the library puts a space before what it is given
@@ -174,90 +165,98 @@ def segments(unit: str, find) -> list[str]:
     return [unit[1:]] if unit[:1] == _CUT else find(" " + unit)
 
 
+def _enabling(vocabulary: Vocabulary) -> set[str]:
+    """Pieces that are part of one with a better score: merging them may make a better merge possible."""
+    score, out = {p: s for p, (_, s) in vocabulary.pieces.items()}, set()
+    for p, s in score.items():
+        for k in range(1, len(p)):
+            x, y = p[:k], p[k:]
+            if (k == 1 or x in score) and (k == len(p) - 1 or y in score):
+                out.update(f for f in (x, y) if len(f) > 1 and score[f] <= s)
+    return out
+
+
 def _piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
-    """piece, rank (0: the best score; equal scores share one), score: as many rows as the vocabulary has pieces."""
+    """piece, rank (0: the best score; equal scores share one), score, enabling: as many rows as the vocabulary has pieces."""
     order = {s: r for r, s in enumerate(sorted({s for _, s in vocabulary.pieces.values()}, reverse=True))}
-    rows = [(p, order[s], float(s)) for p, (_, s) in vocabulary.pieces.items()]
-    return spark.createDataFrame(rows, "piece string, rank long, score double")
+    enabling = _enabling(vocabulary) if vocabulary.is_bpe else ()
+    rows = [(p, order[s], float(s), int(p in enabling)) for p, (_, s) in vocabulary.pieces.items()]
+    return spark.createDataFrame(rows, "piece string, rank long, score double, enabling long")
 
 
 def _bit(n: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
 
 
-def _lengths(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
-    """prefix, lens: which lengths pieces that begin with three given characters have. No larger than the vocabulary."""
+def _lengths(spark: SparkSession, vocabulary: Vocabulary, least: int) -> DataFrame:
+    """prefix, lens: which lengths pieces that begin with ``least`` given characters have. No larger than the vocabulary."""
     lens: dict[str, set[int]] = {}
     for p in vocabulary.pieces:
-        if len(p) > 2:
-            lens.setdefault(p[:3], set()).add(len(p))
+        if len(p) >= least:
+            lens.setdefault(p[:least], {1} if least == 1 else set()).add(len(p))
     return spark.createDataFrame([(p, sorted(n)) for p, n in lens.items()], "prefix string, lens array<int>")
 
 
 def lattices(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``words`` with edges: every substring of a word that is a piece, grouped by word again.
+    """word and its edges: every substring that is a piece, grouped by word again; a BPE word without any has no row.
 
-    Of the substrings from one place only those are exploded whose length some piece with the same first characters
-    has. An edge of a BPE lattice is one number, rank, start and length in that order; of a unigram lattice, stop, start
+    Only places where a piece may begin are joined, and of the substrings from there those are exploded whose length
+    some piece with the same first characters has. An edge of a BPE lattice is a number (rank, start, whether it may
+    enable a better one), the mask of its ends and the mask of the boundaries inside; of a unigram lattice, stop, start
     and score. Distinct words that are partitioned by word stay so: grouping needs no second shuffle.
     """
-    spark = words.sparkSession
-    pieces, lengths = F.broadcast(_piece_table(spark, vocabulary)), F.broadcast(_lengths(spark, vocabulary))  # both bounded by the vocabulary
-    keys, n = words.columns, F.length("word")
-    least = 2 if vocabulary.is_bpe else 1
-    starts = words.select(*keys, F.explode_outer(F.when(n >= least, F.sequence(F.lit(0), n - least))).alias("start"))
-    probed = starts.withColumn("prefix", F.expr("substring(word, start + 1, 3)")).join(lengths, "prefix", "left")
-    short = F.array(*[F.lit(k) for k in range(least, 3)])
-    lens = F.when(F.col("lens").isNull(), short).otherwise(F.concat(short, F.col("lens")))
-    cut = probed.select(*keys, "start", F.explode(lens).alias("len"))
-    found = cut.select(*keys, "start", "len", F.expr("substring(word, start + 1, len)").alias("piece")).where(F.col("start").isNull() | (F.col("start") + F.col("len") <= n)).join(pieces, "piece", "left")
-    if vocabulary.is_bpe:  # the first row of a word stays in any case, so that no word is lost
-        found = found.where(F.col("rank").isNotNull() | F.col("start").isNull() | ((F.col("start") == 0) & (F.col("len") == least)))
-        packed = F.col("rank") * (1 << 16) + F.col("start") * (1 << 8) + F.col("len")
-        return found.groupBy(*keys).agg(F.array_sort(F.collect_list(packed)).alias("edges"))
+    spark, least, n = words.sparkSession, 3 if vocabulary.is_bpe else 1, F.length("word")
+    pieces, lengths = F.broadcast(_piece_table(spark, vocabulary)), F.broadcast(_lengths(spark, vocabulary, least))  # both bounded by the vocabulary
+    # the hash goes first: sorting by a number is far quicker than by a text
+    starts = words.select(F.xxhash64("word").alias("key"), "word", F.explode(F.when(n >= min(least, 2), F.sequence(F.lit(0), n - min(least, 2)))).alias("start"))
+    probed = starts.withColumn("prefix", F.expr(f"substring(word, start + 1, {least})")).join(lengths, "prefix", "left")
+    lens = F.when(F.col("lens").isNull(), F.array(F.lit(min(least, 2)))).otherwise(F.concat(F.array(F.lit(2)), "lens") if vocabulary.is_bpe else F.col("lens"))
+    cut = probed.select("key", "word", "start", F.explode(lens).alias("len")).where(F.col("start") + F.col("len") <= n).withColumn("piece", F.expr("substring(word, start + 1, len)"))
+    if vocabulary.is_bpe:
+        first, size = F.col("start"), F.col("len")
+        edge = F.struct(
+            (F.col("rank") * (1 << 16) + first * (1 << 8) + F.col("enabling")).alias("order"),
+            (_bit(first) + _bit(first + size)).alias("ends"),
+            F.call_function("shiftleft", _bit(size - 1) - 1, first + 1).alias("inner"),
+        )
+        return cut.join(pieces, "piece").groupBy("key", "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     unknown = min(s for _, s in vocabulary.pieces.values()) - 10.0
-    known = found.where(F.col("rank").isNotNull() | (F.col("len") == 1))
+    known = cut.join(pieces, "piece", "left").where(F.col("rank").isNotNull() | (F.col("len") == 1))
     edge = F.struct((F.col("start") + F.col("len")).alias("stop"), F.col("start"), F.coalesce("score", F.lit(unknown)).alias("score"))
-    return known.groupBy(*keys).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-
-
-def unpacked(edges: Column) -> Column:
-    """A BPE lattice's edges as masks: the boundaries at their ends, and those inside."""
+    return known.groupBy("key", "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
-    def masks(e: Column, i: Column) -> Column:
-        start, size = F.shiftright(e, 8).bitwiseAND(255).cast("int"), e.bitwiseAND(255).cast("int")
-        inner = F.call_function("shiftleft", _bit(size - 1) - 1, start + 1)
-        return F.struct((_bit(start) + _bit(start + size)).alias("ends"), inner.alias("inner"), i.alias("i"))
 
-    return F.transform(edges, masks)
+def _all_bits(n: Column) -> Column:
+    """Bits 0 to n, the boundaries of all characters; bit 63 would overflow."""
+    return (_bit(n) - 1) * 2 + 1
 
 
-def merged(n: Column, pairs: Column) -> Column:
+def merged(n: Column, edges: Column) -> Column:
     """The boundary mask after all merges: folds in which each merge is the best that is possible then.
 
-    Edges come sorted, the best first, and unpacked, as a column: the folds look at them many times. One pass over them
-    applies each edge that joins two symbols. That is exact unless a merge makes a better edge possible than itself; such
-    words are folded step by step instead, each step searching all edges.
+    Edges come sorted, the best first. One pass over them applies each edge that joins two symbols. That is exact unless
+    a merge makes a better edge possible than itself, which only pieces can that are part of a better one; such words
+    are folded step by step instead, each step searching all edges.
     """
-    full = (_bit(n) - 1) * 2 + 1  # bits 0 to n; bit 63 would overflow
+    full = _all_bits(n)
 
     def joins(mask: Column, e: Column) -> Column:
         return (F.bit_count(mask.bitwiseAND(e["inner"])) == 1) & (mask.bitwiseAND(e["ends"]) == e["ends"])
 
     def one_pass(state: Column, e: Column) -> Column:
         after = state["mask"].bitwiseAND(F.bitwise_not(e["inner"]))
-        better = F.exists(pairs, lambda f: (f["i"] < e["i"]) & joins(after, f))
+        better = (e["order"].bitwiseAND(1) == 1) & F.exists(edges, lambda f: (f["order"] < e["order"]) & joins(after, f))
         return F.when(joins(state["mask"], e), F.struct(after.alias("mask"), (state["again"] | better).alias("again"))).otherwise(state)
 
     def one_step(mask: Column, _: Column) -> Column:
-        best = F.get(F.filter(pairs, lambda e: joins(mask, e)), F.lit(0))
+        best = F.get(F.filter(edges, lambda e: joins(mask, e)), F.lit(0))
         return F.coalesce(mask.bitwiseAND(F.bitwise_not(best["inner"])), mask)
 
     def settled(state: Column) -> Column:
         steps = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), full, one_step)
         return F.when(state["again"], steps).otherwise(state["mask"])
 
-    return F.aggregate(pairs, F.struct(full.alias("mask"), F.lit(False).alias("again")), one_pass, settled)
+    return F.aggregate(edges, F.struct(full.alias("mask"), F.lit(False).alias("again")), one_pass, settled)
 
 
 def viterbi(n: Column, edges: Column) -> Column:
@@ -280,45 +279,10 @@ def viterbi(n: Column, edges: Column) -> Column:
 
 
 def boundaries(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``words`` (a column word of 1 to LONGEST characters, spaces as the vocabulary writes them) with mask."""
+    """word and mask of distinct ``words`` (of 1 to LONGEST characters, spaces as the vocabulary writes them) that have edges."""
     n, graphs = F.length("word"), lattices(words, vocabulary)
-    if vocabulary.is_bpe:
-        return graphs.withColumn("_pairs", unpacked(F.col("edges"))).withColumn("mask", merged(n, F.col("_pairs"))).drop("edges", "_pairs")
-    return graphs.withColumn("mask", viterbi(n, F.col("edges"))).drop("edges")
-
-
-def _count_segments(docs: DataFrame, pattern: str) -> DataFrame:
-    """word, n: the distinct segments of all texts, up to LONGEST characters, and how often each occurs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(pattern).findall
-        seen: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            total: Counter = Counter()
-            for unit, n in seen.items():
-                for s in segments(unit, find):
-                    total[s] += n
-            seen.clear()
-            keep = [(w.replace(" ", SPACE), n) for w, n in total.items() if len(w) <= LONGEST]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in keep], pa.string()), pa.array([n for _, n in keep], pa.int64())], names=["word", "n"])
-
-        for rb in batches:
-            for a, b in text_ranges(rb.column("text"), _SLICE):
-                counted = units(rb.column("text").slice(a, b - a), find)[0].value_counts()
-                for unit, n in zip(counted.field("values").to_pylist(), counted.field("counts").to_pylist()):
-                    seen[unit] += n
-                if len(seen) > 100_000:
-                    yield flush()
-        yield flush()
-
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _digests(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 bits of each word's hash."""
-    raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
-    return raw[:, 0].copy(), raw[:, 1].astype(np.uint32)
+    fold = merged if vocabulary.is_bpe else viterbi
+    return graphs.select("word", fold(n, F.col("edges")).alias("mask"))
 
 
 def _picked(codes: np.ndarray, start: np.ndarray, size: np.ndarray, pool: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -331,87 +295,131 @@ def _starts(size: np.ndarray) -> np.ndarray:
     return np.cumsum(size) - size
 
 
-class Cache:
-    """Ids of the most frequent segments, found by 96 bits of their hash."""
+class Slice:
+    """The segments of some texts: each distinct one has a code, frequent ones the low codes."""
+
+    def __init__(self, texts: pa.Array, find):
+        all_units, n_units = units(texts, find)
+        named = all_units.dictionary_encode()
+        unit = named.indices.to_numpy(zero_copy_only=False)
+        names = named.dictionary
+        del all_units, named
+        sizes, parts = [np.zeros(0, np.int32)], [pa.array([], pa.large_string())]
+        for c in range(0, len(names), CHUNK):
+            found = [segments(u, find) for u in names.slice(c, CHUNK).to_pylist()]
+            sizes.append(np.fromiter(map(len, found), np.int32, len(found)))
+            parts.append(pa.array([s for p in found for s in p], pa.large_string()))
+        size, spelled = np.concatenate(sizes), pa.concat_arrays(parts).dictionary_encode()
+        del names, parts
+        seq = spelled.indices.to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size[unit], dtype=np.int64)
+        self.ends = np.concatenate([[0], ends])[np.cumsum(n_units)]
+        # a unit's segments follow one another in seq
+        at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
+        at -= np.repeat((ends - size[unit] - _starts(size)[unit]).astype(np.int32), size[unit])
+        seq = seq[at]
+        order = np.argsort(-np.bincount(seq, minlength=len(spelled.dictionary)), kind="stable")
+        code = np.empty(len(order), np.int32)
+        code[order] = np.arange(len(order), dtype=np.int32)
+        self.words = pc.replace_substring(spelled.dictionary.take(pa.array(order)), " ", SPACE)
+        self.codes = code[seq]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first: most high bytes are 0."""
+    return x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplaned(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def _sliced(docs: DataFrame, pattern: str, slice_bytes: int) -> DataFrame:
+    """slice, packed: one row for each slice of texts, with all that its texts' ids depend on but the segments' masks.
+
+    Packed are the texts' ids and hashes, where each one's codes end, the codes, and the distinct segments by code.
+    """
 
-    def __init__(self, key: np.ndarray, check: np.ndarray, size: np.ndarray, pool: np.ndarray):
-        """``pool`` holds the segments' ids one after the other, ``size`` how many each has."""
-        order = np.argsort(key, kind="stable")
-        self.key, self.check, self.pool = key[order], check[order], pool
-        self.start, self.size = _starts(size)[order].astype(np.int32), size[order].astype(np.int16)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, pack, nth = re.compile(pattern).findall, zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
+        for rb in batches:
+            for a, b in text_ranges(rb.column("text"), slice_bytes):
+                texts, ids = rb.column("text").slice(a, b - a), rb.column("doc_id").slice(a, b - a)
+                whole = np.array([xxhash.xxh3_64_intdigest((t or b"").replace(_SPACE_BYTES, b" ")) for t in binaries(texts)], np.uint64)
+                own = Slice(texts, find)
+                known = pc.fill_null(ids, 0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), whole
+                packed = pack.compress(pickle.dumps((*known, _planes(own.ends), _planes(own.codes), own.words.to_pylist())))
+                yield pa.RecordBatch.from_arrays([pa.array([nth]), pa.array([packed])], names=["slice", "packed"])
+                nth += 1
 
-    @classmethod
-    def of(cls, table: pa.Table, vocabulary: Vocabulary) -> Cache:
-        """From columns word and mask, chunk by chunk: only one chunk's ids are ever Python objects."""
-        keys, checks, sizes, pools = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for b in table.to_batches(max_chunksize=1 << 16):
-            words = b.column("word").to_pylist()
-            if words:
-                key, check = _digests([w.replace(SPACE, " ") for w in words])
-                keys.append(key)
-                checks.append(check)
-                ids = [vocabulary.tokens(w, m) for w, m in zip(words, b.column("mask").to_pylist())]
-                sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-                pools.append(np.fromiter((i for x in ids for i in x), np.int32, int(sizes[-1].sum())))
-        return cls(np.concatenate(keys), np.concatenate(checks), np.concatenate(sizes), np.concatenate(pools))
-
-    def find(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's place in the cache, and whether it is there."""
-        if not len(words) or not len(self.key):
-            return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
-        key, check = _digests(words)
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return at, (self.key[at] == key) & (self.check[at] == check)
+    return docs.mapInArrow(run, "slice long, packed binary")
 
 
-class Coder:
-    """Ids of texts on a worker. A segment that is not cached leaves a hole, -1, and is listed."""
+def _named(sliced: DataFrame) -> DataFrame:
+    """word, slice, code: the distinct segments of each slice."""
 
-    def __init__(self, vocabulary: Vocabulary, cache: Cache, pattern: str | None = None):
-        self.vocabulary, self.cache = vocabulary, cache
-        self.find = re.compile(pattern or vocabulary.segment_pattern).findall
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for rb in batches:
+            for nth, packed in zip(rb.column("slice").to_pylist(), rb.column("packed")):
+                words = pickle.loads(unpack.decompress(packed.as_py()))[-1]
+                for c in range(0, len(words), 1 << 16):
+                    some = pa.array(words[c : c + (1 << 16)], pa.string())
+                    yield pa.RecordBatch.from_arrays([some, pa.array(np.full(len(some), nth)), pa.array(np.arange(c, c + len(some), dtype=np.int32))], names=["word", "slice", "code"])
 
-    def coded(self, texts: pa.Array) -> tuple[list[np.ndarray], list[list[str]]]:
-        """Each text's ids and its segments that are not cached, in order."""
-        all_units, n_units = units(texts, self.find)
-        named = all_units.dictionary_encode()
-        parts = [segments(u, self.find) for u in named.dictionary.to_pylist()]
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        spelled = pa.array([s for p in parts for s in p], pa.large_string()).dictionary_encode()
-        seq, n_segments = _picked(named.indices.to_numpy(zero_copy_only=False), _starts(size), size, spelled.indices.to_numpy(zero_copy_only=False))
-        words = spelled.dictionary.to_pylist()
-        at, known = self.cache.find(words)
-        start, size = np.zeros(len(words), np.int64), np.ones(len(words), np.int64)
-        start[known], size[known] = self.cache.start[at[known]], self.cache.size[at[known]]
-        own: list[int] = [-1]
-        start[~known] = len(self.cache.pool)
-        absent = ~known
-        for i in np.flatnonzero(absent):
-            if len(words[i]) > LONGEST:
-                ids = self.vocabulary.tokens_of_long(words[i])
-                start[i], size[i], absent[i] = len(self.cache.pool) + len(own), len(ids), False
-                own += ids
-        ids, n_ids = _picked(seq, start, size, _Joined(self.cache.pool, np.array(own, np.int32)))
-        ends = np.concatenate([[0], np.cumsum(n_segments)])[np.concatenate([[0], np.cumsum(n_units)])]
-        id_ends = np.concatenate([[0], np.cumsum(n_ids)])[ends]
-        holes = np.flatnonzero(absent[seq])
-        cuts = np.searchsorted(holes, ends)
-        lists = [[words[c].replace(" ", SPACE) for c in seq[holes[a:b]]] for a, b in zip(cuts[:-1], cuts[1:])]
-        return [ids[a:b] for a, b in zip(id_ends[:-1], id_ends[1:])], lists
-
-
-class _Joined:
-    """Two arrays indexed as one, without a copy of the first."""
-
-    def __init__(self, a: np.ndarray, b: np.ndarray):
-        self.a, self.b = a, b
-
-    def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        out = self.a[np.minimum(at, len(self.a) - 1)] if len(self.a) else np.zeros(len(at), np.int32)
-        beyond = at >= len(self.a)
-        if beyond.any():
-            out[beyond] = self.b[at[beyond] - len(self.a)]
-        return out
+    return sliced.mapInArrow(run, "word string, slice long, code int")
+
+
+class Coder:
+    """Ids of a slice's texts on a worker, from its segments' masks."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        names, ids = zip(*sorted(vocabulary.ids.items()))
+        self.names, self.ids = pa.array(names, pa.large_string()).cast(pa.large_binary()), np.array(ids, np.int32)
+        self.bytes = np.array(vocabulary.byte_ids, np.int32)
+        self.spelled = pa.array(vocabulary.spelled, pa.large_binary())
+
+    def tokens(self, words: list[str], masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some segments one after the other, and how many each has; a segment is its tokens, so its bytes are theirs."""
+        raw = np.frombuffer("".join(words).encode(), np.uint8)
+        chars = np.flatnonzero((raw & 0xC0) != 0x80)
+        first = np.cumsum([0, *map(len, words)])
+        owner = np.repeat(np.arange(len(words)), np.diff(first))
+        cut = (masks[owner] >> (np.arange(len(chars)) - first[owner])) & 1 == 1
+        start, owner = chars[cut], owner[cut]
+        offsets = np.append(start, len(raw)).astype(np.int64)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+        found = pc.fill_null(pc.index_in(pieces, value_set=self.names), -1).to_numpy(zero_copy_only=False)
+        size = np.where(found < 0, np.diff(offsets), 1)
+        out = np.repeat(np.where(found < 0, -1, self.ids[found]), size)
+        out[out < 0] = self.bytes[raw[np.repeat(found < 0, np.diff(offsets))]]
+        return out.astype(np.int32), np.bincount(owner, size, len(words)).astype(np.int64)
+
+    def table(self, words: list[str], masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each segment's ids start in a pool, how many they are, and the pool."""
+        sizes, pools = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for c in range(0, len(words), CHUNK):
+            some, mask = words[c : c + CHUNK], masks[c : c + CHUNK]
+            pool, n = self.tokens(["" if m == 0 else w for w, m in zip(some, mask.tolist())], mask)
+            sizes.append(n)
+            pools.append(pool)
+        size, start, n = np.concatenate(sizes), _starts(np.concatenate(sizes)), sum(map(len, pools))
+        for c in np.flatnonzero(masks == 0):
+            pools.append(np.array(self.vocabulary.tokens_of_long(words[c].replace(SPACE, " ")), np.int32))
+            size[c], start[c] = len(pools[-1]), n
+            n += len(pools[-1])
+        return start, size, np.concatenate(pools)
+
+    def texts(self, codes: np.ndarray, ends: np.ndarray, whole: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[pa.Array, np.ndarray, pa.Array]:
+        """The ids of some texts, how many each has, and whether they spell it, from its codes up to each of ``ends``."""
+        ids, n = _picked(codes, *table)
+        at = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], ends])]
+        spelled = self.spelled.take(pa.array(ids))
+        offsets = np.frombuffer(spelled.buffers()[1], np.int64)[at] if len(ids) else np.zeros(len(at), np.int64)
+        raw = memoryview(spelled.buffers()[2] or b"")
+        same = [xxhash.xxh3_64_intdigest(raw[x + (raw[x : x + 1] == b" ") : y]) == w for x, y, w in zip(offsets[:-1].tolist(), offsets[1:].tolist(), whole.tolist())]
+        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), np.diff(at), pa.array(same, pa.bool_())
 
 
 def _spelling(ids: Sequence[int], spelled: Sequence[bytes]) -> bytes:
@@ -423,82 +431,45 @@ def decode(ids: Sequence[int], spelled: Sequence[bytes]) -> str:
     return _spelling(ids, spelled).decode(errors="replace")
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of results that are written: it does when their driver objects are collected."""
-    for _ in range(2):  # what the first round frees lets go of more
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
-def encode(docs: DataFrame, vocabulary: Vocabulary, cached: int = CACHED) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, slice_bytes: int = SLICE) -> DataFrame:
     """doc_id, ids, n_tokens, round_trip (whether decoding gives the text again) for each row.
 
-    Broadcasts the model's pieces and at most ``cached`` segments' hashes and ids (some 30 bytes each). Sets the session's
-    rows an Arrow batch to ``BATCH_ROWS`` where it has Spark's default, since whole texts travel.
+    Texts are cut into slices of about ``slice_bytes``, each with its own table of distinct segments. Those tables meet
+    the lattice's result by segment and go back by slice. Only the model's pieces are broadcast, and nothing is collected.
     """
-    spark = docs.sparkSession
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    docs = repeatable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "pieces-docs").withColumn("_row", F.monotonically_increasing_id())
-    pattern = vocabulary.segment_pattern
-    words = written(boundaries(_count_segments(docs, pattern), vocabulary), "pieces-words")
-    _release(spark)
-    cache = spark.sparkContext.broadcast(Cache.of(words.orderBy(F.desc("n"), "word").limit(cached).select("word", "mask").toArrow(), vocabulary))
-    model = vocabulary.model
-    kind = np.int16 if len(vocabulary.spelled) <= 1 << 15 else np.int32
+    spark, model, pattern = docs.sparkSession, vocabulary.model, vocabulary.segment_pattern
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # the shuffles below are each used twice, with the same columns and filters (those that joins add too), so that they
+    # are made once
+    sliced = _sliced(rows, pattern, slice_bytes).repartition("slice")
+    # by a number of partitions, which adaptive execution leaves alone: a segment's lattice is far larger than its row
+    dealt = _named(sliced).where(F.col("word").isNotNull() & F.col("slice").isNotNull() & (F.length("word") <= LONGEST)).repartition(max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), "word")
+    words = dealt.groupBy("word").agg(F.min("slice").alias("s"), F.min("code").alias("c")).where("s >= 0 AND c >= 0").select("word")
+    known = dealt.join(boundaries(words, vocabulary).hint("shuffle_hash"), "word", "left")
+    # a segment without edges falls into its characters
+    masks = known.select("slice", "code", F.coalesce("mask", _all_bits(F.length("word"))).alias("mask"))
+    grouped = masks.groupBy("slice").agg(F.collect_list("code").alias("known"), F.collect_list("mask").alias("masks"))  # bounded by a slice
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, pack = Coder(Vocabulary(model), cache.value, pattern), zstandard.ZstdCompressor(level=1)
-        for rb in batches:
-            for a, b in text_ranges(rb.column("text"), _SLICE):
-                texts = rb.column("text").slice(a, b - a)
-                ids, holes = coder.coded(texts)
-                packed = [pack.compress(x.astype(kind).tobytes()) for x in ids]
-                whole = [xxhash.xxh3_64_intdigest((t or b"").replace(_SPACE_BYTES, b" ")) - (1 << 63) for t in binaries(texts)]
-                yield pa.RecordBatch.from_arrays(
-                    [rb.column("_row")[a:b], rb.column("doc_id")[a:b], pa.array(packed, pa.binary()), pa.array(whole, pa.int64()), pa.array(holes, pa.list_(pa.string()))],
-                    names=["_row", "doc_id", "packed", "whole", "holes"],
-                )
-
-    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            holes = rb.column("holes")
-            n = np.diff(holes.offsets.to_numpy())
-            rows = np.repeat(rb.column("_row").to_numpy(), n)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.arange(len(rows))), holes.flatten()], names=["_row", "nth", "word"])
-
-    def spliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, unpack = Vocabulary(model), zstandard.ZstdDecompressor()
-        size = np.fromiter(map(len, own.spelled), np.int64, len(own.spelled))
-        start, pool = _starts(size), np.frombuffer(b"".join(own.spelled), np.uint8)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, unpack = Coder(Vocabulary(model)), zstandard.ZstdDecompressor()
         for rb in batches:
-            rows = []
-            for packed, patches in zip(rb.column("packed").to_pylist(), rb.column("patches").to_pylist()):
-                ids = np.frombuffer(unpack.decompress(packed), kind).astype(np.int32)
-                if patches:
-                    fill = [own.tokens(p["word"], p["mask"]) for p in patches]
-                    parts, at = [], 0
-                    for h, f in zip(np.flatnonzero(ids < 0), fill, strict=True):
-                        parts += [ids[at:h], np.array(f, np.int32)]
-                        at = h + 1
-                    ids = np.concatenate([*parts, ids[at:]])
-                rows.append(ids)
-            n = np.array([len(r) for r in rows], np.int64)
-            flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-            ends = np.concatenate([[0], np.cumsum(n)])
-            same = []
-            for a, b, whole in zip(ends[:-1], ends[1:], rb.column("whole").to_pylist()):
-                text = _picked(flat[a:b], start, size, pool)[0].tobytes().removeprefix(b" ")
-                same.append(xxhash.xxh3_64_intdigest(text) - (1 << 63) == whole)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), lists, pa.array(n), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "round_trip"])
-
-    # both sides of the join read one shuffle: each takes all columns, so that neither prunes it
-    dealt = docs.select("_row", "doc_id", "text").mapInArrow(coded, "_row long, doc_id long, packed binary, whole long, holes array<string>").repartition("_row")
-    found = dealt.mapInArrow(missing, "_row long, nth long, word string").join(words.select("word", "mask"), "word")
-    patches = found.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("nth", "word", "mask"))).alias("patches"))
-    return dealt.join(patches, "_row", "left").mapInArrow(spliced, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
+            for i in range(rb.num_rows):
+                doc_ids, absent, whole, ends, codes, words = pickle.loads(unpack.decompress(rb.column("packed")[i].as_py()))
+                masks = np.zeros(len(words), np.int64)  # 0 stands for a segment that is too long for a mask
+                if rb.column("known")[i].is_valid:
+                    masks[rb.column("known")[i].values.to_numpy()] = rb.column("masks")[i].values.to_numpy()
+                table, ends, codes = coder.table(words, masks), _unplaned(ends).astype(np.int64), _unplaned(codes)
+                del words, masks
+                a = 0
+                while a < len(ends):  # some texts at a time; a longer one by itself
+                    first = int(ends[a - 1]) if a else 0
+                    b = max(a + 1, int(np.searchsorted(ends, first + CODES, side="right")))
+                    lists, n, same = coder.texts(codes[first : ends[b - 1]], ends[a:b] - first, whole[a:b], table)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], mask=absent[a:b]), lists, pa.array(n), same], names=["doc_id", "ids", "n_tokens", "round_trip"])
+                    a = b
+
+    return sliced.join(grouped, "slice", "left").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decoded(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
