@@ -70,25 +70,36 @@ def hits(docs: DataFrame) -> DataFrame:
     return rows.select("_row", "doc_id", n.alias("n_words"), coded.alias("hits"))
 
 
-def _stands(found: Column, phrase: str, start: Column) -> Column:
-    """Whether the phrase's words stand from word ``start`` on."""
-    out = F.lit(True)
-    for k, w in enumerate(phrase.split()):
-        out = out & F.array_contains(found, (start + k) * _STEP + _CODE[w])
-    return out
-
-
 def _coded(words: list[tuple[int, str]]) -> Column:
     """Words and their positions as hits, to which an offset can be added."""
     return F.array(*[F.lit(k * _STEP + _CODE[w]).cast("long") for k, w in words])
 
 
 def _places(found: Column, phrase: str) -> Column:
-    first = _CODE[phrase.split()[0]]
-    return F.filter(
-        F.transform(F.filter(found, lambda h: h % _STEP == first), lambda h: F.floor(h / _STEP).cast("long")),
-        lambda p: _stands(found, phrase, p),
-    )
+    """Where the phrase's words stand one after the other: they are all hits, so their hits are neighbours."""
+    codes = [_CODE[w] for w in phrase.split()]
+
+    def stands(j: Column) -> Column:
+        h, out = F.get(found, j), F.get(found, j) % _STEP == codes[0]
+        for k, c in enumerate(codes[1:], 1):
+            out = out & (F.get(found, j + k) == h + (k * _STEP + c - codes[0]))
+        return out
+
+    starts = F.when(F.size(found) >= len(codes), F.sequence(F.lit(0), F.size(found) - len(codes))).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.filter(starts, stands), lambda j: F.floor(F.get(found, j) / _STEP).cast("long"))
+
+
+def _at_or_after(found: Column, low: Column) -> Column:
+    """How many hits are less than ``low``: a binary search, as hits ascend."""
+
+    def half(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["lo"] + s["hi"], 1)
+        below = (s["lo"] < s["hi"]) & (F.get(found, middle) < low)
+        lo, hi = F.when(below, middle + 1).otherwise(s["lo"]), F.when(below, s["hi"]).otherwise(middle)
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    whole = F.struct(F.lit(0).alias("lo"), F.size(found).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(found)))), whole, half, lambda s: s["lo"])
 
 
 def base_columns(found: DataFrame) -> DataFrame:
@@ -138,24 +149,25 @@ def placements(found: DataFrame, idf: list[float]) -> DataFrame:
 def verified(found: DataFrame, placed: DataFrame) -> DataFrame:
     """_row, added (labels), score: the placements whose mandatory phrase stands where they put it."""
     grouped = placed.groupBy("_row").agg(F.collect_list(F.struct("template", "offset")).alias("_placed"))
-    both = found.select("_row", "hits").join(grouped, "_row").select("_row", "hits", F.explode("_placed").alias("_at")).select("_row", "hits", "_at.*")
     wording, phrases = [], []
     for _, text, phrase in TEMPLATES:
         words = text.split()
         at = len(f" {text} "[: f" {text} ".index(f" {phrase} ")].split())
         wording.append(_coded(list(enumerate(words))))
         phrases.append(_coded([(at + k, w) for k, w in enumerate(phrase.split())]))
-    t = F.col("template")
-    wanted, mandatory = F.get(F.array(*wording), t), F.get(F.array(*phrases), t)
-
-    def stands(w: Column) -> Column:
-        return F.array_contains("hits", F.col("offset") * _STEP + w)
-
-    checked = both.where(F.forall(mandatory, stands)).select(
-        "_row", F.get(F.array(*[F.lit(name) for name, _, _ in TEMPLATES]), t).alias("label"),
-        (F.size(F.filter(wanted, stands)) / F.size(wanted)).alias("score"),
-    )
-    return checked.groupBy("_row").agg(F.collect_set("label").alias("added"), F.max("score").alias("score"))
+    longest = max(len(text.split()) for _, text, _ in TEMPLATES)
+    names = F.array(*[F.lit(name) for name, _, _ in TEMPLATES])
+
+    def checked(p: Column) -> Column:
+        low = p["offset"] * _STEP
+        near = F.slice("hits", _at_or_after(F.col("hits"), low) + 1, longest)  # all hits that a template there can have
+        stands = lambda w: F.array_contains(near, low + w)
+        wanted = F.get(F.array(*wording), p["template"])
+        share = F.size(F.filter(wanted, stands)) / F.size(wanted)
+        return F.struct(F.get(names, p["template"]).alias("label"), F.when(F.forall(F.get(F.array(*phrases), p["template"]), stands), share).alias("score"))
+
+    both = found.select("_row", "hits").join(grouped, "_row").select("_row", F.filter(F.transform("_placed", checked), lambda x: x["score"].isNotNull()).alias("_found"))
+    return both.where(F.size("_found") > 0).select("_row", F.array_distinct(F.col("_found.label")).alias("added"), F.array_max(F.col("_found.score")).alias("score"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
