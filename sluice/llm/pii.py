@@ -10,28 +10,33 @@ instances, whatever stands before them.
 
 Defined results: a null text counts as empty; an empty text has no spans and the digest of the empty string;
 repeated rows each get a row; an empty table gives an empty result; other columns are ignored (``find``) or kept
-(``redact``). Spans are in code points, end exclusive, and the extractor's never overlap the fixed patterns'.
+(``redact``). Spans are in code points, end exclusive, and the extractor's never overlap the fixed patterns'. Only the
+``CONTEXT`` code points before an identifier are its context.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import free_name, written
+from sluice.llm.common import free_name, text_ranges, written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 _RANK = {k: i for i, k in enumerate(KINDS)}
 
 # The patterns of the base kinds.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# An e-mail address is searched from its @ outwards, and digits are not given back: a long run costs no more than its length.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -61,11 +66,25 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, leftmost first, none over another."""
+    out, done, at = [], 0, text.find("@")
+    while at >= 0:
+        before = text[done:at]
+        start = done + len(before.rstrip(LOCAL))
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            out.append((start, m.end()))
+        done = m.end() if m else at + 1
+        at = text.find("@", done)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The fixed patterns' spans, by start and then kind."""
     out = []
     if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        out += [("email", a, b) for a, b in emails(text)]
     if _DIGIT.search(text):
         out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
         for m in CARD.finditer(text):
@@ -94,6 +113,7 @@ def context(text: str, start: int) -> str:
 def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int, str]]:
     """Instances of a text: pattern ('' without words before it), hash of the identifier, start, end, and the kind if it is a seed, else ''."""
     out = [(context(text, a), a, b, k) for k, a, b in spans]
+    starts, reach = [a for _, a, _ in spans], list(accumulate((b for _, _, b in spans), max))
     at = 0
     for m in _DIGIT.finditer(text):
         if m.start() < at:
@@ -111,7 +131,8 @@ def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str,
             continue
         a = text.rindex(core, a, b)
         b = a + len(core)
-        if any(x < b and a < y for _, x, y in spans):
+        k = bisect_left(starts, b)  # spans that start before the token's end; do they reach beyond its start?
+        if k and reach[k - 1] > a:
             continue
         out.append((context(text, a), a, b, "secret" if _HEX.fullmatch(core) else ""))
     return [(p, _instance(text, a, b), a, b, k) for p, a, b, k in out]
@@ -134,18 +155,22 @@ def scan(docs: DataFrame, row: str = "_row") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            rows = []
-            for t in rb.column("text").to_pylist():
-                spans = base_spans(t or "")
-                n = {k: sum(s[0] == k for s in spans) for k in KINDS}
-                digest = hashlib.sha256(joined(spans).encode()).hexdigest()
-                rows.append((n["email"], n["ip"], n["card"], n["phone"], digest, [dict(zip(("kind", "start", "end"), s)) for s in spans], [dict(zip(("pattern", "inst", "start", "end", "seed"), c)) for c in (candidates(t, spans) if t else [])]))
-            cols = list(zip(*rows)) if rows else [()] * 7
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(_SPAN), pa.list_(_CAND))
-            yield pa.RecordBatch.from_arrays(
-                [rb.column("_row"), rb.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types))],
-                names=["_row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "cands"],
-            )
+            for start, stop in text_ranges(rb.column("text")):
+                yield scanned(rb.slice(start, stop - start))
+
+    def scanned(rb: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for t in rb.column("text").to_pylist():
+            spans = base_spans(t or "")
+            n = {k: sum(s[0] == k for s in spans) for k in KINDS}
+            digest = hashlib.sha256(joined(spans).encode()).hexdigest()
+            rows.append((n["email"], n["ip"], n["card"], n["phone"], digest, [dict(zip(("kind", "start", "end"), s)) for s in spans], [dict(zip(("pattern", "inst", "start", "end", "seed"), c)) for c in (candidates(t, spans) if t else [])]))
+        cols = list(zip(*rows)) if rows else [()] * 7
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(_SPAN), pa.list_(_CAND))
+        return pa.RecordBatch.from_arrays(
+            [rb.column("_row"), rb.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types))],
+            names=["_row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "cands"],
+        )
 
     return docs.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _FOUND)
 
@@ -196,12 +221,12 @@ def _found(docs: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, counts and digest of the fixed patterns' spans, and all spans, for each row."""
+    """doc_id, counts and digest of the fixed patterns' spans, all spans, and how many these are, for each row."""
     found = _found(docs)
     more = added_spans(found, bootstrap(found, **options))
     spans = _all_spans(F.col("base"), F.col("more"))
     text = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return found.drop("cands").join(more, "_row", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", text.alias("spans"))
+    return found.drop("cands").join(more, "_row", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", text.alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -228,17 +253,18 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     resize = "n_chars" in names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            texts = []
-            for t, m in zip(rb.column("text").to_pylist(), rb.column(extra).to_pylist()):
-                if t:
-                    spans = base_spans(t) + [(s["kind"], s["start"], s["end"]) for s in m or [] if _instance(t, s["start"], s["end"]) == s["inst"]]
-                    t = masked(t, spans) if spans else t
-                texts.append(t)
-            cols = {c: rb.column(c) for c in names}
-            cols["text"] = pa.array(texts, pa.string())
-            if resize:
-                cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(cols["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
+        for whole in batches:
+            for start, stop in text_ranges(whole.column("text")):
+                rb, texts = whole.slice(start, stop - start), []
+                for t, m in zip(rb.column("text").to_pylist(), rb.column(extra).to_pylist()):
+                    if t:
+                        spans = base_spans(t) + [(s["kind"], s["start"], s["end"]) for s in m or [] if _instance(t, s["start"], s["end"]) == s["inst"]]
+                        t = masked(t, spans) if spans else t
+                    texts.append(t)
+                cols = {c: rb.column(c) for c in names}
+                cols["text"] = pa.array(texts, pa.string())
+                if resize:
+                    cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(cols["n_chars"].type)
+                yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
 
     return joined_.drop(key).mapInArrow(run, docs.schema)
