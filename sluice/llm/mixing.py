@@ -4,11 +4,12 @@ A source's rows share one expected number of copies, target / source size. Its w
 fractions are rounded by the pivotal method: two rows meet, and mass moves between them, up or down at random, so
 that fraction times size keeps its sum and its expectation, until one fraction is 0 or 1. The row that stays
 fractional meets the next. Rows are dealt to chunks of bounded size; each chunk leaves at most one fractional row,
-and these residuals meet in a reduction tree with a bounded fan-in until one is left a source, which is rounded to the
-nearer number. Large rows meet first, so that the last one tends to be small; a source's taken words differ from
-its target by at most half its largest row.
+and these residuals meet in a reduction tree with a bounded fan-in until one is left a source, which is rounded at
+random like the others. Large rows meet first, so that the last one tends to be small; a source's taken words differ
+from its target by less than that row's size.
 
-Every random number is a hash of the row, so reruns agree, and so do copies of a row in a different order.
+Every random number is a hash of the row's id, text and source, so reruns agree, and so do copies of a row in a
+different order. Rows that agree in these three are copies.
 
 Defined results: null and empty texts have size 0 and take 0 words (their copies are rounded like the others'); a
 null source is a source of its own, last in order; sources without words have target 0; repeated rows are rows of
@@ -32,6 +33,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 CHUNK_ROWS = 1024
 FAN_IN = 256
+#: Copies of one row that a task makes.
+COPIES = 1 << 16
 
 
 def count_words(docs: DataFrame, keep: list[str], size: str = "size") -> DataFrame:
@@ -115,15 +118,23 @@ def _rounding(level: int):
 
 
 def _row_hashes(docs: DataFrame) -> list[Column]:
-    """Two hashes of the whole row: rows that share both are copies of each other."""
-    cols = [F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    """Two hashes of id, text and source: rows that share both are copies of each other."""
+    cols = [F.col(c) for c in ("doc_id", "text", "source")]
     return [F.xxhash64(F.lit(seed), *cols, *[c.isNull() for c in cols]) for seed in (1, 2)]
 
 
+def _each(counted: DataFrame) -> DataFrame:
+    """A row for each of ``_n`` copies, told apart by ``_i``. Many copies of one row are dealt to several tasks."""
+    blocks = counted.where(F.col("_n") > COPIES).withColumn("_from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"), F.lit(COPIES).cast("long"))))
+    hot = blocks.repartition("_a", "_from").withColumn("_i", F.explode(F.sequence("_from", F.least(F.col("_n"), F.col("_from") + (COPIES - 1))))).drop("_from")
+    return counted.where(F.col("_n") <= COPIES).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).unionByName(hot)
+
+
 def _rounded(docs: DataFrame, weights: tuple[float, ...], cap: float, chunk_rows: int, fan_in: int) -> DataFrame:
     """doc_id, row hashes, size, source_size, target, copies of each row.
 
-    Collects and broadcasts one row a source: their number is the length of the mix's own recipe.
+    Collects one row a source: their number is the length of the mix's own recipe. The recipe is joined without a hint,
+    so that it is broadcast only if Spark finds it small enough.
     """
     spark = docs.sparkSession
     a, b = _row_hashes(docs)
@@ -132,16 +143,13 @@ def _rounded(docs: DataFrame, weights: tuple[float, ...], cap: float, chunk_rows
     totals = {r["_src"]: (int(r["s"] or 0), int(r["n"])) for r in sized.groupBy("_src").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()}
     goal = targets({s: v[0] for s, v in totals.items()}, weights, cap) if totals else {}
     chunks = {s: max(1, -(-v[1] // chunk_rows)) for s, v in totals.items()}
-    recipe = F.broadcast(
-        spark.createDataFrame(
-            [(s, v[0], float(goal[s]), float(goal[s] / v[0]) if v[0] else 0.0, chunks[s]) for s, v in totals.items()],
-            "_s string, source_size long, target double, _p double, _chunks long",
-        )
+    recipe = spark.createDataFrame(
+        [(s, v[0], float(goal[s]), float(goal[s] / v[0]) if v[0] else 0.0, chunks[s]) for s, v in totals.items()],
+        "_s string, source_size long, target double, _p double, _chunks long",
     )
     on = F.col("_src").eqNullSafe(F.col("_s"))
     counted = sized.groupBy("doc_id", "_a", "_b", "_src", "size").agg(F.count("*").alias("_n"))
-    each = counted.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))  # tells rows apart that agree in all
-    live = each.join(recipe, on).select(
+    live = _each(counted).join(recipe, on).select(
         "doc_id", "_a", "_b", "_src", "size",
         (F.col("_p") - F.floor("_p")).alias("_part"),
         F.pmod(F.xxhash64("_a", "_b", "_i"), F.col("_chunks")).alias("_chunk"),
@@ -157,7 +165,8 @@ def _rounded(docs: DataFrame, weights: tuple[float, ...], cap: float, chunk_rows
             break
         most, level = -(-most // fan_in), level + 1
         live = live.withColumn("_chunk", F.floor(F.col("_chunk") / fan_in).cast("long"))
-    done.append(live.withColumn("_extra", F.round("_part").cast("long")))
+    drawn = F.pmod(F.xxhash64(F.lit(3), "_a", "_b"), F.lit(1 << 30)) / float(1 << 30)
+    done.append(live.withColumn("_extra", (drawn < F.col("_part")).cast("long")))
     rows = done[0]
     for more in done[1:]:
         rows = rows.unionAll(more)
@@ -174,7 +183,7 @@ def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: floa
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as its copies say, all columns kept.
 
-    Rows that agree in every column are one another's copies: one of them stands for all and is repeated as often
+    Rows that agree in id, text and source are one another's copies: one of them stands for all and is repeated as often
     as they are together.
     """
     plan = _rounded(docs, weights, cap, chunk_rows, fan_in)
