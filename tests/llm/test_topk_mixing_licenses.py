@@ -14,15 +14,15 @@ def vectors(spark, rows):
 
 
 def exact(rows, every, k):
-    good = {}
+    good = []
     for i, v, *_ in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            good[(i, tuple(math.floor(1024 * float(np.float32(x))) for x in v))] = 1
+            good.append((i, [math.floor(1024 * float(np.float32(x))) for x in v]))
     out = []
-    for i, v in good:
+    for n, (i, v) in enumerate(good):
         if i % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in good if (j, w) != (i, v) and len(w) == len(v))
-            out += [(i, r, j, -s) for r, (s, j) in enumerate(scores[:k], 1)]
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for m, (j, w) in enumerate(good) if m != n and len(w) == len(v))
+            out += [(i, r, j, max(min(-s, 2**63 - 1), -(2**63))) for r, (s, j) in enumerate(scores[:k], 1)]
     return sorted(out)
 
 
@@ -38,6 +38,27 @@ def test_topk(spark, blocks):
     assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == exact(rows, 20, 5)
 
 
+def test_topk_of_large_components(spark):
+    r = random.Random(6)
+    rows = [(i, [r.gauss(0, 1) * 10.0 ** r.randint(0, 11) for _ in range(4)], 0, 1, "x") for i in range(60)]
+    got = topk.top_k(vectors(spark, rows), 5, 4)
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == exact(rows, 5, 4)
+    rows = [(0, [1e30, 0.0], 0, 1, "x"), (1, [1.0, 1.0], 0, 1, "x"), (2, [-3e38, 2.0], 0, 1, "x"), (3, [2.0, 0.0], 0, 1, "x"), (4, [0.0, 5.0], 0, 1, "x")]
+    got = topk.top_k(vectors(spark, rows), 100, 5).orderBy("rank").collect()
+    assert [(x["vec_id"], x["score"]) for x in got] == [(3, 2**63 - 1), (1, 2**63 - 1), (4, 0), (2, -(2**63))]
+
+
+def test_topk_sends_few_entries(spark):
+    r = random.Random(7)
+    centers = [[r.gauss(0, 0.2) for _ in range(16)] for _ in range(40)]
+    rows = [(i, [x + r.gauss(0, 0.05) for x in centers[i % 40]], 0, 1, "x") for i in range(2000)]
+    phases = topk.Phases(vectors(spark, rows), 50, 10, 16, 256)
+    pairs = phases.n_queries * phases.n_vectors
+    assert phases.n_queries == 40 and phases.lists.count() == topk.SLICES * 10 * 40
+    entries, left = phases.entries.count(), phases.open.count()
+    assert entries < pairs / 5 and left < pairs / 10, (pairs, entries, left)
+
+
 def test_topk_of_nothing(spark):
     assert topk.top_k(vectors(spark, []), 2).count() == 0
 
@@ -46,6 +67,7 @@ def test_products_are_exact():
     a = np.array([[2**40, 3], [-(2**30), 5]], np.int64)
     assert (topk.products(a[1:], a[1:]) == np.array([[2**60 + 25]])).all()
     assert (topk.products(np.array([[3, 4]]), np.array([[5, 6]])) == [[39]]).all()
+    assert topk.products(np.array([[2**60, 1]]), np.array([[2**60, 3]]))[0, 0] == 2**120 + 3
 
 
 def test_targets():
@@ -109,6 +131,26 @@ def test_mix_repeats_rows(make):
     assert mixing.mix(docs.where("doc_id < 0")).count() == 0
 
 
+def test_mixing_ignores_other_columns_and_deals_copies(make, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "COPIES", 3)
+    docs = make([prose(random.Random(i), 20) for i in range(40)], sources=["a"] * 5 + ["b"] * 35)
+    docs = docs.unionAll(docs.where("doc_id = 1")).crossJoin(docs.sparkSession.range(1)).drop("id")
+    for _ in range(3):
+        docs = docs.unionAll(docs.where("doc_id = 1"))  # 16 copies of one row
+    plain = sorted(map(tuple, mixing.mixing_plan(docs.select("doc_id", "text", "source")).collect()))
+    assert len(plain) == 55 and sorted(map(tuple, mixing.mixing_plan(docs.withColumn("lang", F.lit("zz")).withColumn("more", F.rand())).collect())) == plain
+    assert mixing.mix(docs).count() == sum(x[-1] for x in plain)
+
+
+def test_last_residual_is_drawn_at_random(make):
+    n = 90  # one document a source: each is its source's last residual, with fractions 7/8, 3/4 and 3/8
+    got = mixing.mixing_plan(make([f"w{k} " * 10 for k in range(n)], sources=[f"s{k:02}" for k in range(n)])).collect()
+    more = [sum(x["copies"] - math.floor(x["target"] / 10) for x in got if x["doc_id"] % 3 == i) for i in range(3)]
+    assert 20 <= more[0] <= 30 and 14 <= more[1] <= 29 and 4 <= more[2] <= 19
+
+
 def license_words(text):
     lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
