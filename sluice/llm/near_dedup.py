@@ -10,14 +10,17 @@ all, whatever its length; while a coordinate stays empty the bound is doubled.
 The coordinates are cut into bands, and documents that agree in a band share a bucket. Every link is verified on the
 shingles themselves (weighted Jaccard of at least 0.8); classes are the connected components of the links.
 
-Size bounds. Equal texts are one representative from the start. No bucket is expanded into pairs:
+Size bounds. Equal texts are one representative from the start. Buckets are not expanded into pairs:
 
 1. each member of a bucket is compared with the bucket's first member, which gives classes;
 2. buckets in which several classes meet are dealt to cells of two bounded blocks; within a cell signatures are
    compared, and a forest of the likeliest links between classes is verified, which merges classes further;
-3. the same once more, but every pair between different classes whose signatures may mean 0.8 is verified.
+3. the same once more, but every pair between different classes is verified whose signatures may mean 0.8 and whose
+   texts each share enough with any others at all.
 
-A pair that is never looked at thus lies within one class already, so no class lacks a link.
+A pair that is never looked at thus lies within one class already, or cannot be similar, so no class lacks a link. What
+remains is a cloud of texts just below 0.8 whose differences are shared as well: there the third step verifies pairs in
+the square of the cloud's size, since nothing short of the texts tells these pairs from links.
 
 Defined results: a null or empty text, or one without words, is a class of its own; a text of fewer than five words
 is one shingle of all its words; equal texts are always one class; rows that share an id are told apart; an empty
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import UINT, binaries, complete_groups, components, free_name, hash_words, mix, pruned, repeatable, slices, split_words, window_hashes, written
+from sluice.llm.common import UINT, binaries, by_content, complete_groups, components, free_name, hash_words, mix, slices, split_words, texts_of, window_hashes, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at 0.8 misses all bands with probability (1 - 0.8**ROWS)**BANDS, about 0.0013.
@@ -159,11 +162,11 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SIGNED = "_row long, doc_id long, h1 long, h2 long, bands array<long>, sig binary"
+_SIGNED = "_row long, doc_id long, h1 long, h2 long, d long, bands array<long>, sig binary"
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """Each row's text hash (128 bits), band keys and short signature."""
+    """Each row's band keys and short signature, and a number for the row, which holds once this is written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -172,17 +175,13 @@ def _signed(docs: DataFrame) -> DataFrame:
                 h, owner = shingles(texts[a:b])
                 sig, has = dart_minhash(h, owner, b - a)
                 keys = band_keys(sig)
-                whole = [xxhash.xxh3_128_digest(t or b"") for t in texts[a:b]]
-                halves = np.frombuffer(b"".join(whole), np.int64).reshape(-1, 2)
                 offsets = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))])
                 bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[has].ravel()))
                 short = [s.tobytes() if x else None for s, x in zip(sig.astype(np.uint16), has)]
-                yield pa.RecordBatch.from_arrays(
-                    [rb.column("_row")[a:b], rb.column("doc_id")[a:b], pa.array(halves[:, 0]), pa.array(halves[:, 1]), bands, pa.array(short, pa.binary())],
-                    names=["_row", "doc_id", "h1", "h2", "bands", "sig"],
-                )
+                names = ["_row", "doc_id", "h1", "h2", "d"]
+                yield pa.RecordBatch.from_arrays([*(rb.column(c)[a:b] for c in names), bands, pa.array(short, pa.binary())], names=[*names, "bands", "sig"])
 
-    return docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SIGNED)
+    return by_content(docs).withColumn("_row", F.monotonically_increasing_id()).mapInArrow(run, _SIGNED)
 
 
 def similar(a: Sequence[bytes], b: Sequence[bytes]) -> np.ndarray:
@@ -217,6 +216,25 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _weights(texts: DataFrame) -> DataFrame:
+    """rep, total, common: the weight of a text's shingles, and of those that another of ``texts`` has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            rows, reps = binaries(rb.column("text")), rb.column("rep").to_numpy()
+            for a, b in slices(rows, 1 << 20):
+                h, owner = shingles(rows[a:b])
+                order = np.lexsort((h, owner))
+                h, owner = h[order], owner[order]
+                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])) if len(h) else np.zeros(0, np.int64)
+                weight = np.diff(np.concatenate([first, [len(h)]]))
+                yield pa.RecordBatch.from_arrays([pa.array(reps[a:b][owner[first]]), pa.array(h[first].view(np.int64)), pa.array(weight)], names=["rep", "h", "w"])
+
+    rows = texts.mapInArrow(run, "rep long, h long, w long")
+    several = rows.groupBy("h").agg(F.count("*").alias("n"), F.sum("w").alias("_")).where("n > 1 AND _ > 0").select("h", F.lit(1).alias("also"))
+    return rows.join(several, "h", "left").groupBy("rep").agg(F.sum("w").alias("total"), F.sum(F.when(F.col("also").isNotNull(), F.col("w")).otherwise(0)).alias("common"))
+
+
 def _forest(i: np.ndarray, j: np.ndarray, share: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Of candidate pairs the likeliest that join different classes, none that earlier ones have joined."""
     root: dict[int, int] = {}
@@ -239,18 +257,20 @@ def _forest(i: np.ndarray, j: np.ndarray, share: np.ndarray, classes: np.ndarray
 def _cell_pairs(members: DataFrame, forest: bool) -> DataFrame:
     """Pairs between classes within cells that may reach the similarity, each from the first band it shares.
 
-    members: _b (bucket), rep, cls, bands, sig, _n (members of the bucket).
+    members: _b (bucket), rep, cls, bands, sig, _n (members of the bucket), total, common (see ``_weights``). Two texts
+    have no more in common than either has with any other, which excludes most pairs of a cloud that is held together
+    by text all its members share, without a look at the pairs.
     """
     blocks = F.ceil(F.col("_n") / BLOCK).cast("long")
     own = F.pmod(F.xxhash64("rep"), blocks)
     dealt = members.withColumns({"_blocks": blocks, "_i": own}).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     cells = dealt.withColumn("_cell", F.xxhash64("_b", F.least("_i", "_j"), F.greatest("_i", "_j"))).withColumn("_diagonal", F.col("_i") == F.col("_j")).withColumn("_alone", F.col("_blocks") == 1)
-    parts = cells.select("_cell", "_b", "_i", "rep", "cls", "bands", "sig").repartition("_cell").sortWithinPartitions("_cell", "_i", "rep")
+    parts = cells.select("_cell", "_b", "_i", "rep", "cls", "bands", "sig", "total", "common").repartition("_cell").sortWithinPartitions("_cell", "_i", "rep")
     least = SIMILARITY - MARGIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in complete_groups(batches, ["_cell"]):
-            cls, block, rep, bucket = (t.column(c).to_numpy() for c in ("cls", "_i", "rep", "_b"))
+            cls, block, rep, bucket, total, common = (t.column(c).to_numpy() for c in ("cls", "_i", "rep", "_b", "total", "common"))
             sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, K)
             bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
             a, b = [], []
@@ -262,6 +282,7 @@ def _cell_pairs(members: DataFrame, forest: bool) -> DataFrame:
                     ok = cls[ys] != cls[x]
                     if two:  # pairs within a block belong to its own cell
                         ok &= block[ys] != block[x]
+                    ok &= 9 * np.minimum(common[x], common[ys]) >= 4 * (total[x] + total[ys])  # similarity of 0.8 needs that
                     ys = ys[ok]
                     if len(ys):
                         shared = bands[ys] == bands[x]
@@ -288,21 +309,25 @@ def _cell_pairs(members: DataFrame, forest: bool) -> DataFrame:
 
 def _classes(signed: DataFrame, docs: DataFrame) -> DataFrame:
     """h1, h2, cls: the class (smallest row of its representatives) of each distinct text that has words."""
+    one = F.min(F.struct("_row", "d"))
     reps = written(
-        signed.where(F.size("bands") > 0).groupBy("h1", "h2").agg(F.min("_row").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
+        signed.where(F.size("bands") > 0).groupBy("h1", "h2").agg(one.alias("one"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        .select("h1", "h2", F.col("one._row").alias("rep"), F.col("one.d").alias("d"), "bands", "sig"),
         "near-reps",
     )
     banded = reps.select("rep", F.explode("bands").alias("_b"))
     shared = banded.groupBy("_b").agg(F.min("rep").alias("pivot"), F.count("*").alias("_n")).where("_n > 1")
     members = written(banded.join(shared, "_b"), "near-buckets")
-    wanted = members.select("rep").distinct()
-    texts = written(pruned(docs.select(F.col("_row").alias("rep"), "text"), "rep", wanted).join(wanted, "rep"), "near-texts")
+    wanted = reps.select("rep", "h1", "h2", "d").join(members.select("rep").distinct(), "rep", "left_semi")
+    texts = written(texts_of(by_content(docs), written(wanted, "near-wanted"), "rep"), "near-texts")
     links = written(_verified(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), texts), "near-links")
     roots = components(links)
     for forest in (True, False):
         labelled = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("_b", "_n", "rep", F.coalesce("root", "rep").alias("cls"))
         meeting = labelled.groupBy("_b").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("_b")
-        cells = labelled.join(meeting, "_b").join(reps.select("rep", "bands", "sig"), "rep")
+        open_ = written(labelled.join(meeting, "_b"), "near-meeting")
+        weights = _weights(texts.join(open_.select("rep").distinct(), "rep", "left_semi"))
+        cells = open_.join(reps.select("rep", "bands", "sig"), "rep").join(weights, "rep")
         pairs = written(_cell_pairs(cells, forest), "near-pairs")
         if pairs.isEmpty():
             break
@@ -313,28 +338,37 @@ def _classes(signed: DataFrame, docs: DataFrame) -> DataFrame:
     return reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("cls"))
 
 
-def _membership(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """_row, doc_id, cls of each row of ``docs`` (which has _row), and its classes' first row and size."""
+def _membership(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """_row, doc_id, cls of each row of ``docs``, its classes' first row and size, and the signed rows."""
     signed = written(_signed(docs), "near-signed")
     classes = _classes(signed, docs)
     rows = signed.select("_row", "doc_id", "h1", "h2").join(classes, ["h1", "h2"], "left")
     member = written(rows.select("_row", "doc_id", F.coalesce("cls", "_row").alias("cls")), "near-members")
     first = member.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "_row")).alias("first"), F.count("*").alias("class_size"))
-    return member, written(first, "near-classes")  # a table of its own: the join with a hot class can then be split
+    return member, written(first, "near-classes"), signed  # a table of its own: the join with a hot class can then be split
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the class's smallest id), class_size, kept (the class's first row) for each row."""
-    docs = repeatable(docs, "near-docs")
-    member, first = _membership(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"))
+    member, first, _ = _membership(docs)
     return member.join(first, "cls").select("doc_id", "class_id", "class_size", (F.col("first._row") == F.col("_row")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The first row of each class, with all its columns."""
-    docs = repeatable(docs, "near-docs")
-    row = free_name(docs, "_near_row")
-    keyed = docs.withColumn(row, F.monotonically_increasing_id())
-    _, first = _membership(keyed.select(F.col(row).alias("_row"), "doc_id", "text"))
-    kept = written(first.select(F.col("first._row").alias(row)), "near-kept")
-    return keyed.join(kept, row, "left_semi").drop(row)
+    """The first row of each class, with all its columns; of rows that agree in id and text any."""
+    _, first, signed = _membership(docs)
+    worded = signed.where(F.size("bands") > 0)
+    kept = worded.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select("h1", "h2", "d")
+    alike = worded.groupBy("h1", "h2", "d").agg(F.count("*").alias("n"))
+    k1, k2, kd, kn = (free_name(docs, f"_near_{c}") for c in ("h1", "h2", "d", "n"))
+    kept = written(kept.join(alike, ["h1", "h2", "d"]).select(F.col("h1").alias(k1), F.col("h2").alias(k2), F.col("d").alias(kd), F.col("n").alias(kn)), "near-kept")
+    # a text without words is a class of its own
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = {k1: F.xxhash64("text"), k2: F.xxhash64(F.lit(1), "text"), kd: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))}
+    keyed, names = docs.where(words).withColumns(own), [F.col(f"`{c}`") for c in docs.columns]
+    out = docs.where(~words).unionAll(keyed.join(kept.where(F.col(kn) == 1), [k1, k2, kd], "left_semi").select(*names))
+    several = kept.where(F.col(kn) > 1)
+    if several.isEmpty():
+        return out
+    repeated = keyed.join(several, [k1, k2, kd], "left_semi").groupBy(k1, k2, kd).agg(*[F.first(c).alias(n) for c, n in zip(names, docs.columns)])
+    return out.unionAll(repeated.select(*names))
