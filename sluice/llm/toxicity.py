@@ -14,7 +14,8 @@ Labels are learnt from a bounded sample: at most ``PER_CLASS`` texts of each cla
 equal to 2. Only the text enters a score.
 
 Defined results: a null text counts as empty and gets the empty text's score, a number like any other; without
-examples of both classes every score is the share of toxic labels (0 without labels); repeated rows each get a row;
+a toxic and an ordinary example that has words every score is the share of toxic labels (0 without labels); where no
+fragment sets toxic text apart the dictionaries are alike and only the number of windows tells texts apart; repeated rows each get a row;
 an empty table gives an empty result; other columns are ignored (``score``) or kept (``reject``).
 """
 
@@ -131,7 +132,7 @@ class Compressors:
 
 
 def features(d: np.ndarray) -> list[float]:
-    """What a text's length differences look like."""
+    """What a text's length differences look like; the number of windows, as the largest of many is larger."""
     n = len(d)
     if not n:
         return [0.0] * 7
@@ -166,27 +167,34 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
+def _common(ordinary: Sequence[str], total: int) -> tuple[bytes, bytes]:
+    """The shared part, trained on ordinary windows, and as much again as a head is long; plain text if that is too little."""
+    # samples of four windows each, evenly from all texts: the dictionary trainer wants some length
+    step, samples = max(1, total // 40_000), []
+    for t in ordinary:
+        wins = windows(words_of(t))
+        samples += [b" ".join(wins[i : i + 4]) for i in range(0, len(wins) - 3, 4 * step)]
+    try:
+        trained = zstd.train_dictionary(SHARED + HEAD + 1024, samples).as_bytes()
+    except zstd.ZstdError:  # too few samples
+        trained = b" ".join(w for t in ordinary for w in words_of(t))[-SHARED - HEAD - 1024 :]
+    return trained[-SHARED:], trained[-SHARED - HEAD : -SHARED]
+
+
 def train(sample: Sequence[tuple[int, str, int]], n_toxic: int, n_ordinary: int) -> Model:
     """Fits dictionaries and thresholds on (id, text, label); the counts are of all labels that may be learnt from."""
     share = n_toxic / max(1, n_toxic + n_ordinary)
     toxic, ordinary = [t for _, t, y in sample if y], [t for _, t, y in sample if not y]
     total = sum(len(words_of(t)) for t in ordinary) // WINDOW
-    if not toxic or total < 2000:
+    if not toxic or not total:
         return Model(None, share)
-    # samples of four windows each, evenly from all texts: the dictionary trainer wants some length
-    step, samples = max(1, total // 40_000), []
-    for t in ordinary:
-        wins = windows(words_of(t))
-        samples += [b" ".join(wins[i : i + 4]) for i in range(0, len(wins) - 3, 4 * step)]
-    trained = zstd.train_dictionary(SHARED + HEAD + 1024, samples).as_bytes()
-    shared, filler = trained[-SHARED:], trained[-SHARED - HEAD : -SHARED]
+    shared, filler = _common(ordinary, total)
     a, b = _fragments(toxic), _fragments(ordinary)
     head, own = distinctive(a, b), distinctive(b, a)
     del a, b
-    if not head:
-        return Model(None, share)
-    own = own[-len(head):]
-    model = Model((shared, head, (filler + own)[-len(head):]), share)
+    own = own[len(own) - min(len(own), len(head)) :]
+    both = filler + own
+    model = Model((shared, head, both[max(0, len(both) - len(head)) :]), share)
     y = np.array([s[2] for s in sample], float)
     x = expanded(np.vstack([model.table([s[1] for s in sample[i : i + 200]]) for i in range(0, len(sample), 200)]))
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6

@@ -128,6 +128,39 @@ def test_classifiers_without_examples(spark, make):
         assert module.score(make(["x"]).where("doc_id < 0"), model).count() == 0
 
 
+def test_small_samples_are_learnt_from_too():
+    r = random.Random(23)
+    rows = []
+    for i in range(240):
+        t = prose(r, 12).split()
+        if i % 2:
+            t.insert(r.randrange(len(t)), r.choice(INSULTS))
+        rows.append((i, " ".join(t), i % 2))
+    model = toxicity.train(rows[:200], 100, 100)
+    s = model.scores([t for _, t, _ in rows[200:]])
+    assert np.mean((s >= 0.5) == np.array([y for _, _, y in rows[200:]])) >= 0.8
+    alike = toxicity.train([(0, "one two", 1), (1, "one two", 0)], 1, 1).scores(["one two", "", "x"])
+    assert np.isfinite(alike).all() and abs(alike[0] - 0.5) < 0.3
+
+
+def test_length_differences_equal_plain_compression():
+    import zstandard
+
+    r = random.Random(24)
+    shared, toxic, ordinary = (prose(r, 60).encode() for _ in range(3))
+    wins = [prose(r, 2).encode() for _ in range(50)] + [b"", b"x" * 500]
+    lengths = []
+    for head in (ordinary, toxic):
+        dictionary = zstandard.ZstdCompressionDict(shared + head, zstandard.DICT_TYPE_RAWCONTENT)
+        params = zstandard.ZstdCompressionParameters(
+            window_log=12, chain_log=11, hash_log=11, search_log=3, min_match=4, target_length=16,
+            strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0,
+        )
+        lengths.append([len(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=params).compress(b" " + w + b" " + shared[-40:])) for w in wins])
+    got = toxicity.Compressors(shared, toxic, ordinary).differences(wins)
+    assert got.tolist() == [a - b for a, b in zip(*lengths)]
+
+
 def test_reject_keeps_columns(spark, make, marked):
     docs = make([m[1] for m in marked])
     model = toxicity.fit(docs, spark.createDataFrame([(m[0], m[2]) for m in marked], "doc_id long, toxic int"), per_class=150)
