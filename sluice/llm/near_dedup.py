@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import UINT, binaries, by_content, complete_groups, components, free_name, hash_words, mix, slices, split_words, texts_of, window_hashes, written
+from sluice.llm.common import UINT, binaries, by_content, complete_groups, components, free_name, give_back, hash_words, mix, slices, split_words, texts_of, window_hashes, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at 0.8 misses all bands with probability (1 - 0.8**ROWS)**BANDS, about 0.0013.
@@ -171,7 +171,7 @@ def _signed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             texts = binaries(rb.column("text"))
-            for a, b in slices(texts, 2 << 20):
+            for a, b in slices(texts, 1 << 20):
                 h, owner = shingles(texts[a:b])
                 sig, has = dart_minhash(h, owner, b - a)
                 keys = band_keys(sig)
@@ -180,6 +180,8 @@ def _signed(docs: DataFrame) -> DataFrame:
                 short = [s.tobytes() if x else None for s, x in zip(sig.astype(np.uint16), has)]
                 names = ["_row", "doc_id", "h1", "h2", "d"]
                 yield pa.RecordBatch.from_arrays([*(rb.column(c)[a:b] for c in names), bands, pa.array(short, pa.binary())], names=[*names, "bands", "sig"])
+            del texts, h, owner, sig, keys
+            give_back()
 
     return by_content(docs).withColumn("_row", F.monotonically_increasing_id()).mapInArrow(run, _SIGNED)
 

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from sluice.llm.common import binaries, text_ranges
+from sluice.llm.common import binaries, give_back, text_ranges
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -51,6 +51,8 @@ LONGEST = 62
 _SPACE_BYTES = SPACE.encode()
 #: Text bytes of a slice, text bytes whose segments make a task of the lattice, segments that a worker turns into ids at a time.
 SLICE, TASK_BYTES, CODES = 24 << 20, 8 << 20, 1 << 18
+#: Beyond so many tasks a shuffle, they grow instead, and spill.
+MOST_TASKS = 50_000
 #: Distinct segments that a worker holds as Python objects or spells out at a time.
 CHUNK = 1 << 16
 
@@ -349,7 +351,10 @@ def _sliced(docs: DataFrame, pattern: str, slice_bytes: int) -> DataFrame:
                 own = Slice(texts, find)
                 known = pc.fill_null(ids, 0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), whole
                 packed = pack.compress(pickle.dumps((*known, _planes(own.ends), _planes(own.codes), own.words.to_pylist())))
+                del texts, ids, whole, own, known
                 yield pa.RecordBatch.from_arrays([pa.array([nth]), pa.array([packed])], names=["slice", "packed"])
+                del packed
+                give_back()
                 nth += 1
 
     return docs.mapInArrow(run, "slice long, packed binary")
@@ -366,6 +371,8 @@ def _named(sliced: DataFrame) -> DataFrame:
                 for c in range(0, len(words), 1 << 16):
                     some = pa.array(words[c : c + (1 << 16)], pa.string())
                     yield pa.RecordBatch.from_arrays([some, pa.array(np.full(len(some), nth)), pa.array(np.arange(c, c + len(some), dtype=np.int32))], names=["word", "slice", "code"])
+                del words, packed
+                give_back()
 
     return sliced.mapInArrow(run, "word string, slice long, code int")
 
@@ -442,9 +449,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, slice_bytes: int = SLICE) ->
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # the shuffles below are each used twice, with the same columns and filters (those that joins add too), so that they
     # are made once
-    sliced = _sliced(rows, pattern, slice_bytes).repartition("slice")
-    # by a number of partitions, which adaptive execution leaves alone: a segment's lattice is far larger than its row
-    dealt = _named(sliced).where(F.col("word").isNotNull() & F.col("slice").isNotNull() & (F.length("word") <= LONGEST)).repartition(max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), "word")
+    # by a number of partitions, which adaptive execution leaves alone: a few slices a task, and a segment's lattice is far
+    # larger than its row
+    tasks = lambda n: min(MOST_TASKS, max(spark.sparkContext.defaultParallelism, -(-size // n)))
+    sliced = _sliced(rows, pattern, slice_bytes).repartition(tasks(2 * slice_bytes), "slice")
+    dealt = _named(sliced).where(F.col("word").isNotNull() & F.col("slice").isNotNull() & (F.length("word") <= LONGEST)).repartition(tasks(TASK_BYTES), "word")
     words = dealt.groupBy("word").agg(F.min("slice").alias("s"), F.min("code").alias("c")).where("s >= 0 AND c >= 0").select("word")
     known = dealt.join(boundaries(words, vocabulary).hint("shuffle_hash"), "word", "left")
     # a segment without edges falls into its characters
@@ -461,13 +470,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, slice_bytes: int = SLICE) ->
                     masks[rb.column("known")[i].values.to_numpy()] = rb.column("masks")[i].values.to_numpy()
                 table, ends, codes = coder.table(words, masks), _unplaned(ends).astype(np.int64), _unplaned(codes)
                 del words, masks
-                a = 0
+                a, lists, n, same = 0, None, None, None
                 while a < len(ends):  # some texts at a time; a longer one by itself
                     first = int(ends[a - 1]) if a else 0
                     b = max(a + 1, int(np.searchsorted(ends, first + CODES, side="right")))
                     lists, n, same = coder.texts(codes[first : ends[b - 1]], ends[a:b] - first, whole[a:b], table)
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], mask=absent[a:b]), lists, pa.array(n), same], names=["doc_id", "ids", "n_tokens", "round_trip"])
                     a = b
+                del doc_ids, absent, whole, ends, codes, table, lists, n, same
+                give_back()
 
     return sliced.join(grouped, "slice", "left").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
 
