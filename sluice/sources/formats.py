@@ -64,9 +64,13 @@ def _key(key: bytes | str):
     return F.lit(key)
 
 
+#: Timestamps keep their microseconds in sealed rows.
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def write_encrypted(df: DataFrame, path: str, key: bytes | str, aad: str = "", mode: str = "errorifexists") -> None:
     """Each row as one AES-GCM sealed value beside the clear schema; executors seal their own rows."""
-    sealed = df.select(F.aes_encrypt(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), _key(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), F.lit(aad)).alias("sealed"))
+    sealed = df.select(F.aes_encrypt(F.to_json(F.struct("*"), {"ignoreNullFields": "false"} | _EXACT), _key(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), F.lit(aad)).alias("sealed"))
     sealed.select(F.col("sealed").alias("sealed", metadata={"schema": df.schema.json()})).write.mode(mode).parquet(path)
 
 
@@ -79,7 +83,7 @@ def read_encrypted(spark: SparkSession, path: str, key: bytes | str, aad: str =
         raise EngineError(f"{path} is not encrypted")
     schema = StructType.fromJson(json.loads(df.schema["sealed"].metadata["schema"]))
     opened = F.aes_decrypt("sealed", _key(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(aad)).cast("string")
-    return df.select(F.from_json(opened, schema).alias("r")).select("r.*")
+    return df.select(F.from_json(opened, schema, _EXACT).alias("r")).select("r.*")
 
 
 def is_encrypted(df: DataFrame) -> bool:

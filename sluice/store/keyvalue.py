@@ -25,6 +25,11 @@ def visible(log: DataFrame, read_ts: int | None = None, key: str = "key", value:
     return last.where(~F.col("v.deleted")).select(key, F.col(f"v.{value}").alias(value), F.col("v.commit_ts").alias("commit_ts"))
 
 
+def valid_at(batches: DataFrame, ts: int, begin: str = "begin_ts", end: str = "end_ts") -> DataFrame:
+    """Versioned batches that are visible at ``ts``: begun by then, and not ended or ended later."""
+    return batches.where((F.col(begin) <= ts) & (F.col(end).isNull() | (F.col(end) > ts)))
+
+
 def survivors(log: DataFrame, watermark: int, keep: int = 1, key: str = "key") -> DataFrame:
     """The versions that garbage collection leaves.
 

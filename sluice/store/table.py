@@ -20,6 +20,10 @@ from sluice.errors import ColumnExists, ColumnNotFound, ManifestConflict, TableE
 from sluice.sources.files import Files
 
 
+#: Columns beside a table's own while it is rewritten.
+_WHOLE, _HIT = "__stored_row", "__hit"
+
+
 class Table:
     def __init__(self, spark: SparkSession, root: str, name: str):
         self.spark, self.name = spark, name
@@ -160,11 +164,11 @@ class Table:
         if not touched:
             return 0
         rows = self._marked(touched, predicate)
-        n = rows.where("_hit").count()
-        cols = [
-            F.when(F.col("_hit"), fresh[c["id"]][0].cast(fresh[c["id"]][1])).otherwise(F.col(f"`{c['name']}`")).alias(f"c{c['id']}") if c["id"] in fresh else F.col(f"`{c['name']}`").alias(f"c{c['id']}")
-            for c in self.columns()
-        ]
+        n = rows.where(F.col(_HIT)).count()
+        cols = []
+        for f in self._stored().fields:
+            kept, change = F.col(f"{_WHOLE}.{f.name}"), fresh.get(int(f.name[1:]))
+            cols.append((kept if change is None else F.when(F.col(_HIT), change[0].cast(change[1])).otherwise(kept)).alias(f.name))
         self._replace(touched, rows.select(*cols))
         return n
 
@@ -174,12 +178,14 @@ class Table:
         if not touched:
             return 0
         rows = self._marked(touched, predicate)
-        n = rows.where("_hit").count()
-        self._replace(touched, rows.where(~F.col("_hit")).select(*[F.col(f"`{c['name']}`").alias(f"c{c['id']}") for c in self.columns()]))
+        n = rows.where(F.col(_HIT)).count()
+        self._replace(touched, rows.where(~F.col(_HIT)).select(f"{_WHOLE}.*"))
         return n
 
     def _marked(self, commits: list[dict], predicate: Column) -> DataFrame:
-        return self._named(self._scan(commits)).withColumn("_hit", F.coalesce(predicate, F.lit(False)))
+        """The commits' rows under their current names, beside all that is stored of them, dropped columns too."""
+        named = [F.col(f"c{c['id']}").alias(c["name"]) for c in self.columns()]
+        return self._scan(commits).select(F.struct("*").alias(_WHOLE), *named).withColumn(_HIT, F.coalesce(predicate, F.lit(False)))
 
     def _replace(self, old: list[dict], stored: DataFrame) -> None:
         commit = self._write(stored)
