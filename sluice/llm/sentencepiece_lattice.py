@@ -452,7 +452,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, slice_bytes: int = SLICE) ->
     # by a number of partitions, which adaptive execution leaves alone: a few slices a task, and a segment's lattice is far
     # larger than its row
     tasks = lambda n: min(MOST_TASKS, max(spark.sparkContext.defaultParallelism, -(-size // n)))
-    sliced = _sliced(rows, pattern, slice_bytes).repartition(tasks(2 * slice_bytes), "slice")
+    sliced = _sliced(rows, pattern, slice_bytes).repartition(tasks(max(2 * slice_bytes, TASK_BYTES)), "slice")
     dealt = _named(sliced).where(F.col("word").isNotNull() & F.col("slice").isNotNull() & (F.length("word") <= LONGEST)).repartition(tasks(TASK_BYTES), "word")
     words = dealt.groupBy("word").agg(F.min("slice").alias("s"), F.min("code").alias("c")).where("s >= 0 AND c >= 0").select("word")
     known = dealt.join(boundaries(words, vocabulary).hint("shuffle_hash"), "word", "left")
