@@ -40,7 +40,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage is cut, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    # nothing reads this step's shuffles again, but Spark deletes them only after the driver has collected their plan
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

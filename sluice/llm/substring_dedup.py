@@ -16,7 +16,10 @@ passage is split at its gaps, and its parts are aligned.
 What the pivots do not explain is matched once more, among itself and in another order of the texts: by seed, and by
 runs of 2 and of 4 seeds that follow one another, so that the pivots of a longer run are texts that share more of it than
 a clause that is frequent elsewhere. What is left is settled exactly: every run of 50 words of a stretch that no passage
-covers is looked up by its hash among the runs of all stretches. The number of passes does not depend on the data.
+covers is looked up by its hash among the runs of all stretches. The shared seeds that still lie in no passage are matched
+with all texts, not with pivots: every text that shares such a seed and another one, half a chain's least span to ``REACH``
+words away, is chained and aligned, on the seeds within ``REACH`` words. These pairs grow with the square of the number
+of texts that share a clause of that length outside passages. The number of passes does not depend on the data.
 
 Defined results: null and empty texts have no passages; texts of fewer than 50 words have none; equal texts of at
 least 50 words are one passage as a whole; a passage repeated only within one text is none; rows that share an id are
@@ -282,15 +285,37 @@ def passages(a: Sequence[bytes], b: Sequence[bytes], xs: Sequence[int], ys: Sequ
 
     A chain may bridge what the texts do not share. One that does not align is cut wherever ``BREAK`` words have no
     match, and a part that does not align at its largest gap, down to single matches: extension gives an exact
-    passage from any of its matches. Matches inside a passage already found are not tried again.
+    passage from any of its matches. An end that agrees in less than half of what differs up to it is tried by itself,
+    so a clause beyond other words is not drawn in. Matches inside a passage already found are not tried again.
     """
     out: list[tuple[int, int, int, int]] = []
+    worth = []
+    for k in range(1, len(xs)):
+        left, right = a[xs[k - 1] + SEED : xs[k]], b[ys[k - 1] + SEED : ys[k]]
+        worth.append(len(left) if left == right else 3 * common_subsequence(left, right) - 2 * max(len(left), len(right)))
+    step = [min(SEED, xs[k] - xs[k - 1]) for k in range(1, len(xs))]
     gaps = [max(xs[i] - xs[i - 1], ys[i] - ys[i - 1]) for i in range(1, len(xs))]
     open_ = [(0, len(xs))]
     while open_:
         i, j = open_.pop()
         if any(x0 <= xs[i] and xs[j - 1] + SEED <= x1 and y0 <= ys[i] and ys[j - 1] + SEED <= y1 for x0, x1, y0, y1 in out):
             continue
+        cut, gain = 0, SEED
+        for k in range(i + 1, j):
+            if gain + worth[k - 1] < 0:
+                cut = k
+                break
+            gain += worth[k - 1] + step[k - 1]
+        else:
+            gain = SEED
+            for k in range(j - 1, i, -1):
+                if gain + worth[k - 1] < 0:
+                    cut = k
+                    break
+                gain += worth[k - 1] + step[k - 1]
+        if cut:
+            open_ += [(cut, j), (i, cut)]
+            continue
         got = aligned(a, b, (xs[i], xs[j - 1] + SEED), (ys[i], ys[j - 1] + SEED))
         if got:
             out.append(got)
@@ -377,6 +402,14 @@ def _merged(spans: DataFrame) -> DataFrame:
     return longest.repartition("t").sortWithinPartitions("t", "start").mapInArrow(run, "t long, start int, stop int, p long")
 
 
+def _uncovered(matches: DataFrame, spans: DataFrame) -> DataFrame:
+    """t, pos, seed: the matched places that no passage covers."""
+    covered = _merged(spans).select("t", "start", "stop")
+    return matches.select("t", "pos", "seed").distinct().alias("m").join(
+        covered.alias("c"), (F.col("m.t") == F.col("c.t")) & (F.col("m.pos") >= F.col("c.start")) & (F.col("m.pos") < F.col("c.stop")), "left_anti"
+    )
+
+
 _WINDOWS = "t long, pos int, h long"
 
 
@@ -426,6 +459,84 @@ def _exact(matches: DataFrame, docs: DataFrame, holders: DataFrame, known: DataF
     return fresh.join(ends, "h").select("t", F.col("pos").alias("start"), (F.col("pos") + PASSAGE).alias("stop"), F.when(F.col("lo") == F.col("t"), F.col("hi")).otherwise(F.col("lo")).alias("p"))
 
 
+def _keys(owner: np.ndarray, pos: np.ndarray, seed: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of an owner's sorted places ``least`` to ``most`` words apart: first, second, and a hash of both seeds."""
+    first, second, k = [], [], 1
+    while k < len(pos):
+        d = pos[k:] - pos[:-k]
+        within = (owner[k:] == owner[:-k]) & (d <= most)
+        if not within.any():
+            break
+        i = np.flatnonzero(within & (d >= least))
+        first.append(i)
+        second.append(i + k)
+        k += 1
+    i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (first, second))
+    seed = seed.view(UINT)
+    return i, j, mix(mix(seed[i]) ^ seed[j]).view(np.int64)
+
+
+#: Words around an uncovered place from which its chain's other seeds are taken.
+REACH = BREAK + LEAST_SPAN
+
+
+def _near(places: DataFrame) -> DataFrame:
+    """Of the places (t, pos, seed, fresh) those with an uncovered one within ``REACH``, by stretches (start)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, _ in complete_groups(batches, ["t"]):
+            t, pos, fresh = (g.column(c).to_numpy() for c in ("t", "pos", "fresh"))
+            at = np.arange(len(t))
+            before, after = np.maximum.accumulate(np.where(fresh, at, 0)), np.minimum.accumulate(np.where(fresh, at, len(t) - 1)[::-1])[::-1]
+            near = fresh.copy()
+            for other in (before, after):
+                near |= fresh[other] & (t[other] == t) & (np.abs(pos[other] - pos) <= REACH)
+            g, t, pos = g.filter(pa.array(near)), t[near], pos[near]
+            if not len(t):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (np.diff(pos) > BREAK)]))
+            sizes = np.diff(np.concatenate([first, [len(t)]]))
+            wide = np.repeat(pos[first + sizes - 1] + SEED - pos[first] >= LEAST_SPAN, sizes)
+            yield from g.append_column("start", pa.array(np.repeat(pos[first], sizes))).filter(pa.array(wide)).to_batches()
+
+    return places.select("t", "pos", "seed", "fresh").repartition("t").sortWithinPartitions("t", "pos").mapInArrow(run, "t long, pos int, seed long, fresh boolean, start int")
+
+
+def _rest(matches: DataFrame, open_: DataFrame, seeded: DataFrame, holders: DataFrame) -> DataFrame:
+    """t, pos, p, q: the matches of the uncovered places and those near them with all texts whose chain may hold an uncovered one."""
+    known = matches.join(open_.select("t").distinct(), "t", "left_semi").select("t", "pos", "seed").distinct()
+    known = known.join(open_.withColumn("fresh", F.lit(True)), ["t", "pos", "seed"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+    sought = written(_near(known), "substring-sought")
+    own = seeded.select(F.col("_row").alias("t"), F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("t", F.col("s.seeds").alias("seed"), F.col("s.at").alias("pos"))
+    own = pruned(own, "seed", sought.select("seed")).join(sought.select("seed").distinct(), "seed", "left_semi")
+    places = written(own.join(holders.select("t"), "t", "left_semi"), "substring-places")
+
+    # a chain that spans LEAST_SPAN has, from any of its places, one half as far away: two texts meet by both seeds
+    def ours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, starts in complete_groups(batches, ["t", "start"]):
+            pos, seed, fresh = (g.column(c).to_numpy() for c in ("pos", "seed", "fresh"))
+            own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, g.num_rows)))
+            i, j, key = _keys(own, pos, seed, (LEAST_SPAN - SEED) // 2, REACH)
+            use = fresh[i] | fresh[j]
+            rows = g.select(["t", "start"]).take(pa.array(i[use]))
+            yield from rows.append_column("key", pa.array(key[use])).to_batches()
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, _ in complete_groups(batches, ["t"]):
+            t, pos, seed = (g.column(c).to_numpy() for c in ("t", "pos", "seed"))
+            i, _, key = _keys(t, pos, seed, 1, int(REACH / AGREE))
+            yield pa.RecordBatch.from_arrays([pa.array(t[i]), pa.array(key)], names=["p", "key"])
+
+    tells = sought.select("t", "start", "pos", "seed", "fresh").repartition("t").sortWithinPartitions("t", "start", "pos").mapInArrow(ours, "t long, start int, key long").distinct()
+    tells = written(tells, "substring-keys")
+    held = places.select("t", "pos", "seed").repartition("t").sortWithinPartitions("t", "pos").mapInArrow(others, "p long, key long")
+    pairs = tells.join(pruned(held, "key", tells).distinct(), "key").where("t <> p").select("t", "start", "p").distinct()
+    theirs = places.select("seed", F.col("t").alias("p"), F.col("pos").alias("q"))
+    both = pairs.join(sought.select("t", "start", "pos", "seed"), ["t", "start"]).join(theirs, ["seed", "p"])
+    wide = both.groupBy("t", "start", "p").agg(F.collect_list(F.struct("pos", "q")).alias("at")).where((F.array_max("at")["pos"] - F.array_min("at")["pos"]) >= LEAST_SPAN - SEED)
+    return wide.select("t", "p", F.inline("at"))
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, start_word, end_word, n_words, partner_id, kept: one row for each repeated passage of each row.
 
@@ -441,16 +552,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     matches = written(_stretches(places.join(_pivots(places), "seed")), "substring-matches")
     first = written(_explained(matches, docs, holders), "substring-spans")
     # what no passage covers yet is matched among itself
-    covered = _merged(first).select("t", "start", "stop")
-    open_ = matches.select("t", "pos", "seed").distinct().alias("m").join(
-        covered.alias("c"), (F.col("m.t") == F.col("c.t")) & (F.col("m.pos") >= F.col("c.start")) & (F.col("m.pos") < F.col("c.stop")), "left_anti"
-    )
-    runs = written(_runs(open_), "substring-runs")
+    runs = written(_runs(_uncovered(matches, first)), "substring-runs")
     again = written(_stretches(runs.join(_pivots(runs, 1), "seed")).select("t", "p", "pos", "q").distinct(), "substring-matches")
     spans = first.unionAll(written(_explained(again, docs, holders), "substring-spans"))
     copies = holders.where((F.col("rows") > 1) & (F.col("n") >= PASSAGE)).select("t", F.lit(0).alias("start"), F.col("n").cast("int").alias("stop"), F.col("t").alias("p"))
     spans = spans.unionAll(copies)
     spans = spans.unionAll(written(_exact(matches, docs, holders, _merged(spans)), "substring-exact"))
+    # and what is still left with all texts
+    rest = written(_rest(matches, written(_uncovered(matches, spans), "substring-open"), seeded, holders), "substring-matches")
+    spans = spans.unionAll(written(_explained(rest, docs, holders), "substring-spans"))
     merged = _merged(spans)
     partner = holders.select(F.col("t").alias("p"), "first_id", "last_id")
     rows = seeded.select("doc_id", "h1", "h2").join(holders.select("h1", "h2", "t"), ["h1", "h2"]).select("t", "doc_id")
