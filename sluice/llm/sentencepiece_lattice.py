@@ -452,13 +452,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, slice_bytes: int = SLICE) ->
     # by a number of partitions, which adaptive execution leaves alone: a few slices a task, and a segment's lattice is far
     # larger than its row
     tasks = lambda n: min(MOST_TASKS, max(spark.sparkContext.defaultParallelism, -(-size // n)))
-    sliced = _sliced(rows, pattern, slice_bytes).repartition(tasks(max(2 * slice_bytes, TASK_BYTES)), "slice")
+    by_slice = tasks(max(2 * slice_bytes, TASK_BYTES))
+    sliced = _sliced(rows, pattern, slice_bytes).repartition(by_slice, "slice")
     dealt = _named(sliced).where(F.col("word").isNotNull() & F.col("slice").isNotNull() & (F.length("word") <= LONGEST)).repartition(tasks(TASK_BYTES), "word")
     words = dealt.groupBy("word").agg(F.min("slice").alias("s"), F.min("code").alias("c")).where("s >= 0 AND c >= 0").select("word")
     known = dealt.join(boundaries(words, vocabulary).hint("shuffle_hash"), "word", "left")
     # a segment without edges falls into its characters
     masks = known.select("slice", "code", F.coalesce("mask", _all_bits(F.length("word"))).alias("mask"))
-    grouped = masks.groupBy("slice").agg(F.collect_list("code").alias("known"), F.collect_list("mask").alias("masks"))  # bounded by a slice
+    # dealt as the slices are: with another number of partitions the join would shuffle the slices anew
+    grouped = masks.repartition(by_slice, "slice").groupBy("slice").agg(F.collect_list("code").alias("known"), F.collect_list("mask").alias("masks"))  # bounded by a slice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, unpack = Coder(Vocabulary(model)), zstandard.ZstdDecompressor()

@@ -17,3 +17,16 @@ def test_segments_of_60_to_64_characters(make):
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         assert got[i]["ids"] == vocabulary.library.encode(t) and got[i]["round_trip"], repr(t)
+
+
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="no tokenizer files")
+def test_slices_are_shuffled_once(spark, make):
+    from sluice.llm.sentencepiece_lattice import Vocabulary, encode
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 97)  # more than the slices are dealt to
+    try:
+        plan = encode(make(["some words", "and some more"]), Vocabulary.load(MODEL))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert "hashpartitioning(slice" in plan and "97), REPARTITION_BY_NUM" not in plan
