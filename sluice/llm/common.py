@@ -46,6 +46,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` has made, once nothing reads them any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def by_content(docs: DataFrame) -> DataFrame:
     """doc_id, text, and what finds a row again in any later scan: h1 and h2 (128 bits of the text's hash), d (its id).
 

@@ -17,9 +17,9 @@ What the pivots do not explain is matched once more, among itself and in another
 runs of 2 and of 4 seeds that follow one another, so that the pivots of a longer run are texts that share more of it than
 a clause that is frequent elsewhere. What is left is settled exactly: every run of 50 words of a stretch that no passage
 covers is looked up by its hash among the runs of all stretches. The shared seeds that still lie in no passage are matched
-with all texts, not with pivots: every text that shares such a seed and another one, half a chain's least span to ``REACH``
-words away, is chained and aligned, on the seeds within ``REACH`` words. These pairs grow with the square of the number
-of texts that share a clause of that length outside passages. The number of passes does not depend on the data.
+with all texts, not with pivots: every text that shares two seeds around such a place, as far apart as a chain spans at
+least and up to ``APART`` words, is chained and aligned, on the seeds within ``REACH`` words. These pairs grow with the
+square of the number of texts that share a clause of that length outside passages. The number of passes does not depend on the data.
 
 Defined results: null and empty texts have no passages; texts of fewer than 50 words have none; equal texts of at
 least 50 words are one passage as a whole; a passage repeated only within one text is none; rows that share an id are
@@ -29,14 +29,14 @@ told apart, repeated rows each get their rows; an empty table gives an empty res
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import UINT, binaries, by_content, complete_groups, hash_words, mix, pruned, slices, split_words, texts_of, window_hashes, written
+from sluice.llm.common import UINT, binaries, by_content, complete_groups, forget, hash_words, mix, pruned, slices, split_words, texts_of, window_hashes, written
 
 SEED, WINNOW = 5, 8
 #: Least words of a passage; share of its words that have to agree; words between shared seeds that end a stretch.
@@ -136,16 +136,21 @@ def _runs(places: DataFrame) -> DataFrame:
     return places.select("seed", "t", "pos").repartition("t").sortWithinPartitions("t", "pos").mapInArrow(run, "seed long, t long, pos int")
 
 
-def _pivots(places: DataFrame, turn: int = 0) -> DataFrame:
-    """seed, and its first and last place, of the seeds that stand in different texts; each turn orders texts anew."""
-    place = F.struct(F.xxhash64("t", F.lit(turn)).alias("order"), "t", "pos") if turn else F.struct("t", "pos")
-    ends = places.groupBy("seed").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
-    return ends.where("lo.t <> hi.t")
+def _pivoted(places: DataFrame, turn: int = 0) -> DataFrame:
+    """The places of seeds that stand in different texts, beside the seed's first and last; each turn orders texts anew.
+
+    One shuffle and one sort of the places: most seeds stand in one text, so an aggregate to join with would be as large
+    as the places. Spark spills a seed's places beyond a few thousand.
+    """
+    order = [F.xxhash64("t", F.lit(turn)), "t", "pos"] if turn else ["t", "pos"]
+    whole = Window.partitionBy("seed").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = {f"{end}_{c}": at(c).over(whole) for end, at in (("lo", F.first), ("hi", F.last)) for c in ("t", "pos")}
+    return places.select("seed", "t", "pos").withColumns(ends).where("lo_t <> hi_t")
 
 
 def _stretches(shared: DataFrame) -> DataFrame:
     """The matches (t, pos, p, q) of shared seeds that lie in long enough stretches; the stretch is named by its start."""
-    rows = shared.select("seed", "t", "pos", F.col("lo.t").alias("p1"), F.col("lo.pos").alias("q1"), F.col("hi.t").alias("p2"), F.col("hi.pos").alias("q2"))
+    rows = shared.select("seed", "t", "pos", F.col("lo_t").alias("p1"), F.col("lo_pos").alias("q1"), F.col("hi_t").alias("p2"), F.col("hi_pos").alias("q2"))
     rows = rows.repartition("t").distinct().sortWithinPartitions("t", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,6 +219,18 @@ def _raise(tree: list, k: int, value: tuple[float, int]) -> None:
 _CHAINED = "t long, p long, x0 int, x1 int, y0 int, y1 int, xs array<int>, ys array<int>"
 
 
+def _linked_rows(t: int, p: int, x: list[int], y: list[int]) -> list[tuple]:
+    """The chains of two texts' matches, sorted by x."""
+    if not x or x[-1] + SEED - x[0] < LEAST_SPAN:
+        return []
+    return [(t, p, x[c[0]], x[c[-1]], y[c[0]], y[c[-1]], [x[i] for i in c], [y[i] for i in c]) for c in linked(x, y)]
+
+
+def _chain_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=["t", "p", "x0", "x1", "y0", "y1", "xs", "ys"])
+
+
 def _chained(matches: DataFrame) -> DataFrame:
     """The chains of each pair of texts, with their matches."""
 
@@ -223,14 +240,9 @@ def _chained(matches: DataFrame) -> DataFrame:
             x, y = g.column("pos").to_pylist(), g.column("q").to_pylist()
             rows = []
             for s, e in zip(starts, [*starts[1:], g.num_rows]):
-                if x[e - 1] + SEED - x[s] >= LEAST_SPAN:
-                    for c in linked(x[s:e], y[s:e]):
-                        xs, ys = [x[s + i] for i in c], [y[s + i] for i in c]
-                        rows.append((t[s], p[s], xs[0], xs[-1], ys[0], ys[-1], xs, ys))
+                rows += _linked_rows(t[s], p[s], x[s:e], y[s:e])
             if rows:
-                cols = list(zip(*rows))
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], names=["t", "p", "x0", "x1", "y0", "y1", "xs", "ys"])
+                yield _chain_batch(rows)
 
     return matches.select("t", "p", "pos", "q").repartition("t", "p").sortWithinPartitions("t", "p", "pos", "q").mapInArrow(run, _CHAINED)
 
@@ -368,13 +380,14 @@ def _passages(found: DataFrame, texts: DataFrame) -> DataFrame:
     return left.join(right, ["p", "y0", "y1"]).mapInArrow(run, _ALIGNED)
 
 
-def _explained(matches: DataFrame, docs: DataFrame, holders: DataFrame) -> DataFrame:
-    """t, start, stop, p: the passages that the chains of these matches align to, for both texts of each."""
-    chained = written(_chained(matches), "substring-chains")
-    wanted = chained.select("t").unionAll(chained.select(F.col("p").alias("t"))).distinct()
-    texts = written(texts_of(docs, holders.select("t", "h1", "h2", "d").join(wanted, "t"), "t"), "substring-words")
+def _explained(chained: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """t, start, stop, p: the passages that these chains align to, for both texts of each; ``texts`` gives those it is asked for."""
+    chained = written(chained, "substring-chains")
     side = lambda t, lo, hi, p: F.struct(F.col(t).alias("t"), F.col(lo).alias("start"), F.col(hi).alias("stop"), F.col(p).alias("p"))
-    return _passages(chained, texts).select(F.inline(F.array(side("t", "x0", "x1", "p"), side("p", "y0", "y1", "t"))))
+    words = texts(chained.select("t").unionAll(chained.select(F.col("p").alias("t"))).distinct())
+    found = written(_passages(chained, words).select(F.inline(F.array(side("t", "x0", "x1", "p"), side("p", "y0", "y1", "t")))), "substring-spans")
+    forget(chained)
+    return found
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -442,7 +455,7 @@ def _windows(stretched: DataFrame, covered: bool) -> DataFrame:
     return stretched.mapInArrow(run, _WINDOWS)
 
 
-def _exact(matches: DataFrame, docs: DataFrame, holders: DataFrame, known: DataFrame) -> DataFrame:
+def _exact(matches: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
     """t, start, stop, p: the runs of PASSAGE words outside known passages that another text has too."""
     ends = matches.groupBy("t", "start").agg(F.max("pos").alias("hi"))
     stretched = ends.groupBy("t").agg(F.collect_list(F.struct(F.col("start").alias("lo"), "hi")).alias("stretches"))
@@ -450,13 +463,16 @@ def _exact(matches: DataFrame, docs: DataFrame, holders: DataFrame, known: DataF
     reach = WINNOW - 1
     whole = F.forall("stretches", lambda s: F.exists("known", lambda k: (k["start"] <= F.greatest(s["lo"] - reach, F.lit(0))) & (k["stop"] >= s["hi"] + SEED + reach)))
     rows = written(
-        texts_of(docs, holders.select("t", "h1", "h2", "d").join(stretched.select("t"), "t"), "t").join(stretched, "t").select("t", "text", "stretches", "known", F.coalesce(whole, F.lit(False)).alias("whole")),
+        texts.join(stretched, "t").select("t", "text", "stretches", "known", F.coalesce(whole, F.lit(False)).alias("whole")),
         "substring-stretches",
     )
     fresh = written(_windows(rows.where("not whole").drop("whole"), False), "substring-windows")
     partners = pruned(_windows(rows.drop("whole"), True), "h", fresh)
     ends = fresh.select("h", "t").unionAll(partners.select("h", "t")).groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi")
-    return fresh.join(ends, "h").select("t", F.col("pos").alias("start"), (F.col("pos") + PASSAGE).alias("stop"), F.when(F.col("lo") == F.col("t"), F.col("hi")).otherwise(F.col("lo")).alias("p"))
+    partner = F.when(F.col("lo") == F.col("t"), F.col("hi")).otherwise(F.col("lo"))
+    found = written(fresh.join(ends, "h").select("t", F.col("pos").alias("start"), (F.col("pos") + PASSAGE).alias("stop"), partner.alias("p")), "substring-exact")
+    forget(rows, fresh)
+    return found
 
 
 def _keys(owner: np.ndarray, pos: np.ndarray, seed: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -478,6 +494,8 @@ def _keys(owner: np.ndarray, pos: np.ndarray, seed: np.ndarray, least: int, most
 
 #: Words around an uncovered place from which its chain's other seeds are taken.
 REACH = BREAK + LEAST_SPAN
+#: Words between two seeds by which texts meet: the ends of what spans less than LEAST_SPAN, and the next seed within REACH.
+APART = REACH + LEAST_SPAN - SEED
 
 
 def _near(places: DataFrame) -> DataFrame:
@@ -502,29 +520,38 @@ def _near(places: DataFrame) -> DataFrame:
     return places.select("t", "pos", "seed", "fresh").repartition("t").sortWithinPartitions("t", "pos").mapInArrow(run, "t long, pos int, seed long, fresh boolean, start int")
 
 
-def _rest(matches: DataFrame, open_: DataFrame, seeded: DataFrame, holders: DataFrame) -> DataFrame:
-    """t, pos, p, q: the matches of the uncovered places and those near them with all texts whose chain may hold an uncovered one."""
+def _sought(matches: DataFrame, open_: DataFrame) -> DataFrame:
+    """t, pos, seed, fresh, start: the uncovered places (fresh) and those near them."""
     known = matches.join(open_.select("t").distinct(), "t", "left_semi").select("t", "pos", "seed").distinct()
     known = known.join(open_.withColumn("fresh", F.lit(True)), ["t", "pos", "seed"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
-    sought = written(_near(known), "substring-sought")
+    return written(_near(known), "substring-sought")
+
+
+def _holding(sought: DataFrame, seeded: DataFrame, holders: DataFrame) -> DataFrame:
+    """t, seed, pos: all places of the seeds of ``sought``."""
     own = seeded.select(F.col("_row").alias("t"), F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("t", F.col("s.seeds").alias("seed"), F.col("s.at").alias("pos"))
     own = pruned(own, "seed", sought.select("seed")).join(sought.select("seed").distinct(), "seed", "left_semi")
-    places = written(own.join(holders.select("t"), "t", "left_semi"), "substring-places")
+    return written(own.join(holders.select("t"), "t", "left_semi"), "substring-places")
+
 
-    # a chain that spans LEAST_SPAN has, from any of its places, one half as far away: two texts meet by both seeds
+def _met(sought: DataFrame, places: DataFrame) -> DataFrame:
+    """The chains of uncovered places and those near them with all texts that may hold one."""
+
+    # a chain that spans LEAST_SPAN has, around any of its places, two that are so far apart: texts meet by both seeds
     def ours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, starts in complete_groups(batches, ["t", "start"]):
             pos, seed, fresh = (g.column(c).to_numpy() for c in ("pos", "seed", "fresh"))
             own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, g.num_rows)))
-            i, j, key = _keys(own, pos, seed, (LEAST_SPAN - SEED) // 2, REACH)
-            use = fresh[i] | fresh[j]
+            i, j, key = _keys(own, pos, seed, LEAST_SPAN - SEED, APART)
+            before = np.append(0, np.cumsum(fresh))
+            use = before[j + 1] > before[i]
             rows = g.select(["t", "start"]).take(pa.array(i[use]))
             yield from rows.append_column("key", pa.array(key[use])).to_batches()
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, _ in complete_groups(batches, ["t"]):
             t, pos, seed = (g.column(c).to_numpy() for c in ("t", "pos", "seed"))
-            i, _, key = _keys(t, pos, seed, 1, int(REACH / AGREE))
+            i, _, key = _keys(t, pos, seed, 1, int(APART / AGREE))
             yield pa.RecordBatch.from_arrays([pa.array(t[i]), pa.array(key)], names=["p", "key"])
 
     tells = sought.select("t", "start", "pos", "seed", "fresh").repartition("t").sortWithinPartitions("t", "start", "pos").mapInArrow(ours, "t long, start int, key long").distinct()
@@ -533,8 +560,28 @@ def _rest(matches: DataFrame, open_: DataFrame, seeded: DataFrame, holders: Data
     pairs = tells.join(pruned(held, "key", tells).distinct(), "key").where("t <> p").select("t", "start", "p").distinct()
     theirs = places.select("seed", F.col("t").alias("p"), F.col("pos").alias("q"))
     both = pairs.join(sought.select("t", "start", "pos", "seed"), ["t", "start"]).join(theirs, ["seed", "p"])
-    wide = both.groupBy("t", "start", "p").agg(F.collect_list(F.struct("pos", "q")).alias("at")).where((F.array_max("at")["pos"] - F.array_min("at")["pos"]) >= LEAST_SPAN - SEED)
-    return wide.select("t", "p", F.inline("at"))
+    lists = both.groupBy("t", "p").agg(F.sort_array(F.collect_list(F.struct("start", "pos", "q"))).alias("at"))
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            rows = []
+            for t, p, at in zip(rb.column("t").to_pylist(), rb.column("p").to_pylist(), _listed(rb.column("at"))):
+                first = np.flatnonzero(np.concatenate([[True], at[0][1:] != at[0][:-1]]))
+                wide = at[1][np.append(first[1:], len(at[0])) - 1] - at[1][first] >= LEAST_SPAN - SEED
+                use = np.repeat(wide, np.diff(np.append(first, len(at[0]))))
+                rows += _linked_rows(t, p, at[1][use].tolist(), at[2][use].tolist())
+            if rows:
+                yield _chain_batch(rows)
+
+    return lists.mapInArrow(chain, _CHAINED)
+
+
+def _listed(column: pa.ListArray) -> Iterator[list[np.ndarray]]:
+    """Each list of a column of lists of structs as one array a field."""
+    flat, ends = column.flatten(), np.append(0, np.cumsum(column.value_lengths().to_numpy()))
+    fields = [f.to_numpy() for f in flat.flatten()]
+    for a, b in zip(ends, ends[1:]):
+        yield [f[a:b] for f in fields]
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -549,18 +596,23 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     holders = written(holders.select(F.col("one._row").alias("t"), F.col("one.d").alias("d"), "h1", "h2", "first_id", "last_id", "rows", "n"), "substring-texts")
     firsts = seeded.join(holders.select(F.col("t").alias("_row")), "_row", "left_semi").select(F.col("_row").alias("t"), "seeds", "at")
     places = firsts.select("t", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("t", F.col("s.seeds").alias("seed"), F.col("s.at").alias("pos"))
-    matches = written(_stretches(places.join(_pivots(places), "seed")), "substring-matches")
-    first = written(_explained(matches, docs, holders), "substring-spans")
+    matches = written(_stretches(_pivoted(places)), "substring-matches")
+    fetched = lambda wanted: texts_of(docs, holders.select("t", "h1", "h2", "d").join(wanted, "t"), "t")
+    texts = written(fetched(matches.select("t").unionAll(matches.select(F.col("p").alias("t"))).distinct()), "substring-words")
+    first = _explained(_chained(matches), lambda wanted: texts.join(wanted, "t", "left_semi"))
     # what no passage covers yet is matched among itself
     runs = written(_runs(_uncovered(matches, first)), "substring-runs")
-    again = written(_stretches(runs.join(_pivots(runs, 1), "seed")).select("t", "p", "pos", "q").distinct(), "substring-matches")
-    spans = first.unionAll(written(_explained(again, docs, holders), "substring-spans"))
+    again = written(_stretches(_pivoted(runs, 1)).select("t", "p", "pos", "q").distinct(), "substring-matches")
+    spans = first.unionAll(_explained(_chained(again), lambda wanted: texts.join(wanted, "t", "left_semi")))
+    forget(runs, again)
     copies = holders.where((F.col("rows") > 1) & (F.col("n") >= PASSAGE)).select("t", F.lit(0).alias("start"), F.col("n").cast("int").alias("stop"), F.col("t").alias("p"))
     spans = spans.unionAll(copies)
-    spans = spans.unionAll(written(_exact(matches, docs, holders, _merged(spans)), "substring-exact"))
+    spans = spans.unionAll(_exact(matches, texts, _merged(spans)))
+    forget(texts)
     # and what is still left with all texts
-    rest = written(_rest(matches, written(_uncovered(matches, spans), "substring-open"), seeded, holders), "substring-matches")
-    spans = spans.unionAll(written(_explained(rest, docs, holders), "substring-spans"))
+    sought = _sought(matches, written(_uncovered(matches, spans), "substring-open"))
+    chained = _met(sought, _holding(sought, seeded, holders))
+    spans = spans.unionAll(_explained(chained, lambda wanted: written(fetched(wanted), "substring-words")))
     merged = _merged(spans)
     partner = holders.select(F.col("t").alias("p"), "first_id", "last_id")
     rows = seeded.select("doc_id", "h1", "h2").join(holders.select("h1", "h2", "t"), ["h1", "h2"]).select("t", "doc_id")

@@ -113,3 +113,30 @@ def test_partners_that_are_no_pivots(make, seed, share):
     lost = [(i, sorted(w - c)) for i, (w, c) in enumerate(zip(wanted, cover)) if w - c]
     print(sum(map(len, wanted)), sum(len(x) for _, x in lost))
     assert any(wanted) and not lost
+
+
+def test_texts_that_share_a_short_clause_do_not_all_meet(make, monkeypatch):
+    r, tables = random.Random(39), []
+    written = substring_dedup.written
+
+    def seen(df, name):
+        out = written(df, name)
+        if name in ("substring-keys", "substring-chains"):
+            tables.append((name, out, out.select("t", "key").distinct().collect() if name == "substring-keys" else []))
+        return out
+
+    monkeypatch.setattr(substring_dedup, "written", seen)
+    clause, n = words(r, 22), 80
+    texts = []
+    for _ in range(n // 2):  # the clause is too short for a chain, and what two texts share after it too short for a passage
+        after = words(r, 14)
+        texts += [f"{words(r, 60)} {clause} {words(r, 12)} {after} {words(r, 60)}" for _ in range(2)]
+    p = words(r, 60)
+    texts += [f"{words(r, 20)} {p} {words(r, 20)}" for _ in range(2)]
+    check(make, texts)
+    sharing = Counter(x["key"] for name, _, rows in tables for x in rows)
+    assert sum(k * (k - 1) for k in sharing.values()) < 8 * n, max(sharing.values())
+    # and what a pass has made is deleted after it
+    for name, table, _ in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0])
+        assert name == "substring-keys" or not path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).exists(path)
