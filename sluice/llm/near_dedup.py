@@ -35,7 +35,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import UINT, binaries, by_content, complete_groups, components, free_name, give_back, hash_words, mix, slices, split_words, texts_of, window_hashes, written
@@ -162,11 +162,11 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SIGNED = "_row long, doc_id long, h1 long, h2 long, d long, bands array<long>, sig binary"
+_SIGNED = "_row long, doc_id long, h1 long, h2 long, d long, bands array<long>"
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """Each row's band keys and short signature, and a number for the row, which holds once this is written."""
+    """Each row's band keys, and a number for the row, which holds once this is written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -177,15 +177,33 @@ def _signed(docs: DataFrame) -> DataFrame:
                 keys = band_keys(sig)
                 offsets = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))])
                 bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[has].ravel()))
-                short = [s.tobytes() if x else None for s, x in zip(sig.astype(np.uint16), has)]
                 names = ["_row", "doc_id", "h1", "h2", "d"]
-                yield pa.RecordBatch.from_arrays([*(rb.column(c)[a:b] for c in names), bands, pa.array(short, pa.binary())], names=[*names, "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([*(rb.column(c)[a:b] for c in names), bands], names=[*names, "bands"])
             del texts, h, owner, sig, keys
             give_back()
 
     return by_content(docs).withColumn("_row", F.monotonically_increasing_id()).mapInArrow(run, _SIGNED)
 
 
+def _sketched(texts: DataFrame) -> DataFrame:
+    """rep, bands, sig: band keys and short signature of each text, which has words.
+
+    Made again from the texts that several classes' buckets hold: signatures are two thirds of what all rows would keep.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            rows = binaries(rb.column("text"))
+            for a, b in slices(rows, 1 << 20):
+                h, owner = shingles(rows[a:b])
+                sig, _ = dart_minhash(h, owner, b - a)
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * BANDS, pa.int32()), pa.array(band_keys(sig).ravel()))
+                yield pa.RecordBatch.from_arrays([rb.column("rep")[a:b], bands, pa.array([x.tobytes() for x in sig.astype(np.uint16)], pa.binary())], names=["rep", "bands", "sig"])
+            give_back()
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, bands array<long>, sig binary")
+
+
 def similar(a: Sequence[bytes], b: Sequence[bytes]) -> np.ndarray:
     """Whether each pair's weighted Jaccard similarity is at least 0.8, in whole numbers."""
     n = len(a)
@@ -313,23 +331,26 @@ def _classes(signed: DataFrame, docs: DataFrame) -> DataFrame:
     """h1, h2, cls: the class (smallest row of its representatives) of each distinct text that has words."""
     one = F.min(F.struct("_row", "d"))
     reps = written(
-        signed.where(F.size("bands") > 0).groupBy("h1", "h2").agg(one.alias("one"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-        .select("h1", "h2", F.col("one._row").alias("rep"), F.col("one.d").alias("d"), "bands", "sig"),
+        signed.where(F.size("bands") > 0).groupBy("h1", "h2").agg(one.alias("one"), F.first("bands").alias("bands"))
+        .select("h1", "h2", F.col("one._row").alias("rep"), F.col("one.d").alias("d"), "bands"),
         "near-reps",
     )
     banded = reps.select("rep", F.explode("bands").alias("_b"))
-    shared = banded.groupBy("_b").agg(F.min("rep").alias("pivot"), F.count("*").alias("_n")).where("_n > 1")
-    members = written(banded.join(shared, "_b"), "near-buckets")
+    bucket = Window.partitionBy("_b")  # one shuffle: most buckets hold one text, so their aggregate would be as large as the rows
+    members = written(banded.withColumns({"pivot": F.min("rep").over(bucket), "_n": F.count("*").over(bucket)}).where("_n > 1"), "near-buckets")
     wanted = reps.select("rep", "h1", "h2", "d").join(members.select("rep").distinct(), "rep", "left_semi")
     texts = written(texts_of(by_content(docs), written(wanted, "near-wanted"), "rep"), "near-texts")
     links = written(_verified(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), texts), "near-links")
     roots = components(links)
+    sketches = None
     for forest in (True, False):
         labelled = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("_b", "_n", "rep", F.coalesce("root", "rep").alias("cls"))
         meeting = labelled.groupBy("_b").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("_b")
         open_ = written(labelled.join(meeting, "_b"), "near-meeting")
-        weights = _weights(texts.join(open_.select("rep").distinct(), "rep", "left_semi"))
-        cells = open_.join(reps.select("rep", "bands", "sig"), "rep").join(weights, "rep")
+        looked = texts.join(open_.select("rep").distinct(), "rep", "left_semi")
+        if sketches is None:  # the second time's are among the first's: merging classes opens no bucket
+            sketches = written(_sketched(looked), "near-sketches")
+        cells = open_.join(sketches, "rep").join(_weights(looked), "rep")
         pairs = written(_cell_pairs(cells, forest), "near-pairs")
         if pairs.isEmpty():
             break

@@ -39,3 +39,22 @@ def test_rows_are_found_by_content_in_any_partitioning(make):
     wanted = sorted((x["doc_id"], x["text"]) for x in near_dedup.deduplicate(docs.where("text <> ''")).collect())
     assert wanted == sorted(enumerate(texts))
     assert near_dedup.deduplicate(docs.repartition(7)).count() == 33
+
+
+def test_signatures_are_kept_only_where_classes_meet(make, monkeypatch):
+    r, kept = random.Random(53), []
+    written = near_dedup.written
+
+    def seen(df, name):
+        out = written(df, name)
+        if "sig" in out.columns:
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", seen)
+    common = words(r, 120)
+    texts = [words(r, 60) for _ in range(200)] + [f"{common} {words(r, 16)}" for _ in range(60)]
+    texts += [f"{texts[k]} {words(r, 2)}" for k in (0, 1, 200, 210)] + texts[:20] + ["", None, "two words"]
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_duplicates(make(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == classes(texts)
+    assert 0 < sum(kept) <= 62, kept
