@@ -17,7 +17,7 @@ What the pivots do not explain is matched once more, among itself and in another
 runs of 2 and of 4 seeds that follow one another, so that the pivots of a longer run are texts that share more of it than
 a clause that is frequent elsewhere. What is left is settled exactly: every run of 50 words of a stretch that no passage
 covers is looked up by its hash among the runs of all stretches. The shared seeds that still lie in no passage are matched
-with all texts, not with pivots: every text that shares two seeds around such a place, as far apart as a chain spans at
+with all texts, not with pivots: every text that shares two seeds near such a place, as far apart as a chain spans at
 least and up to ``APART`` words, is chained and aligned, on the seeds within ``REACH`` words. These pairs grow with the
 square of the number of texts that share a clause of that length outside passages. The number of passes does not depend on the data.
 
@@ -537,16 +537,13 @@ def _holding(sought: DataFrame, seeded: DataFrame, holders: DataFrame) -> DataFr
 def _met(sought: DataFrame, places: DataFrame) -> DataFrame:
     """The chains of uncovered places and those near them with all texts that may hold one."""
 
-    # a chain that spans LEAST_SPAN has, around any of its places, two that are so far apart: texts meet by both seeds
+    # a chain that spans LEAST_SPAN has two places that are so far apart: texts meet by both seeds, those of covered places too, as a passage may reach beyond its chain
     def ours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, starts in complete_groups(batches, ["t", "start"]):
-            pos, seed, fresh = (g.column(c).to_numpy() for c in ("pos", "seed", "fresh"))
+            pos, seed = (g.column(c).to_numpy() for c in ("pos", "seed"))
             own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, g.num_rows)))
-            i, j, key = _keys(own, pos, seed, LEAST_SPAN - SEED, APART)
-            before = np.append(0, np.cumsum(fresh))
-            use = before[j + 1] > before[i]
-            rows = g.select(["t", "start"]).take(pa.array(i[use]))
-            yield from rows.append_column("key", pa.array(key[use])).to_batches()
+            i, _, key = _keys(own, pos, seed, LEAST_SPAN - SEED, APART)
+            yield from g.select(["t", "start"]).take(pa.array(i)).append_column("key", pa.array(key)).to_batches()
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, _ in complete_groups(batches, ["t"]):
@@ -554,7 +551,7 @@ def _met(sought: DataFrame, places: DataFrame) -> DataFrame:
             i, _, key = _keys(t, pos, seed, 1, int(APART / AGREE))
             yield pa.RecordBatch.from_arrays([pa.array(t[i]), pa.array(key)], names=["p", "key"])
 
-    tells = sought.select("t", "start", "pos", "seed", "fresh").repartition("t").sortWithinPartitions("t", "start", "pos").mapInArrow(ours, "t long, start int, key long").distinct()
+    tells = sought.select("t", "start", "pos", "seed").repartition("t").sortWithinPartitions("t", "start", "pos").mapInArrow(ours, "t long, start int, key long").distinct()
     tells = written(tells, "substring-keys")
     held = places.select("t", "pos", "seed").repartition("t").sortWithinPartitions("t", "pos").mapInArrow(others, "p long, key long")
     pairs = tells.join(pruned(held, "key", tells).distinct(), "key").where("t <> p").select("t", "start", "p").distinct()
