@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import UINT, binaries, by_content, complete_groups, forget, hash_words, mix, pruned, slices, split_words, texts_of, window_hashes, written
+from sluice.llm.common import SLICE_BYTES, UINT, binaries, by_content, complete_groups, forget, give_back, hash_words, mix, pruned, split_words, text_ranges, texts_of, window_hashes, written
 
 SEED, WINNOW = 5, 8
 #: Least words of a passage; share of its words that have to agree; words between shared seeds that end a stretch.
@@ -93,9 +93,8 @@ def _seeded(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            texts = binaries(rb.column("text"))
-            for a, b in slices(texts):
-                flat, counts = split_words(texts[a:b])
+            for a, b in text_ranges(rb.column("text")):
+                flat, counts = split_words(binaries(rb.column("text").slice(a, b - a)))
                 h, owner, pos = window_hashes(hash_words(flat), counts, SEED)
                 keep = winnow(h, owner, pos)
                 h, owner, pos = numbered(h[keep], owner[keep], pos[keep])
@@ -105,6 +104,7 @@ def _seeded(docs: DataFrame) -> DataFrame:
                     [*(rb.column(c)[a:b] for c in names), pa.array(counts), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(pos.astype(np.int32)))],
                     names=[*names, "n", "seeds", "at"],
                 )
+                give_back()
 
     return docs.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(run, _SEEDED)
 
@@ -227,8 +227,7 @@ def _linked_rows(t: int, p: int, x: list[int], y: list[int]) -> list[tuple]:
 
 
 def _chain_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=["t", "p", "x0", "x1", "y0", "y1", "xs", "ys"])
+    return _batch(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())), _CHAINED)
 
 
 def _chained(matches: DataFrame) -> DataFrame:
@@ -337,24 +336,44 @@ def passages(a: Sequence[bytes], b: Sequence[bytes], xs: Sequence[int], ys: Sequ
     return out
 
 
-def _cut(pieces: DataFrame, texts: DataFrame, key: str, lo: str, hi: str, out: str) -> DataFrame:
-    """``pieces`` beside the words from MARGIN before ``lo`` to MARGIN after ``hi`` of the text ``key`` names."""
-    names = pieces.columns
-    schema = pieces.select("*", F.lit(b"").alias(out), F.lit(0).alias(f"{out}_from")).schema
+def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts with all their ranges: k, lo, hi, words from MARGIN before ``lo`` to MARGIN after ``hi``, and where those begin."""
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
+    for rb in batches:
+        keys, ranges = rb.column("k").to_numpy(), rb.column("ranges")
+        for a, b in text_ranges(rb.column("text")):
+            rows, size = [], 0
+            for k, t, wanted in zip(keys[a:b].tolist(), binaries(rb.column("text").slice(a, b - a)), ranges.slice(a, b - a)):
+                words = t.split()
+                lo, hi = (wanted.values.field(c).to_pylist() for c in ("lo", "hi"))
+                for x, y in zip(lo, hi):
+                    start = max(0, x - MARGIN)
+                    rows.append((k, x, y, b" ".join(words[start : y + SEED + MARGIN]), start))
+                    size += len(rows[-1][3])
+                    if size > SLICE_BYTES:  # near copies of a long text ask for nearly all of it, each by other ends
+                        yield _batch(rows, types, _CUT)
+                        rows, size = [], 0
+            if rows:
+                yield _batch(rows, types, _CUT)
+            give_back()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            words, known = [], {}
-            starts = []
-            for k, t, a, b in zip(rb.column(key).to_pylist(), rb.column("_text").to_pylist(), rb.column(lo).to_pylist(), rb.column(hi).to_pylist()):
-                if k not in known:
-                    known = {k: t.encode().split()}
-                start = max(0, a - MARGIN)
-                starts.append(start)
-                words.append(b" ".join(known[k][start : b + SEED + MARGIN]))
-            yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in names), pa.array(words, pa.binary()), pa.array(starts, pa.int32())], names=[*names, out, f"{out}_from"])
 
-    return pieces.join(texts.select(F.col("t").alias(key), F.col("text").alias("_text")), key).select(*names, "_text").mapInArrow(run, schema)
+_CUT = "k long, lo int, hi int, words binary, first int"
+
+
+def _cut(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """The words that the chains span in their texts, each range once.
+
+    A worker gets a text once, beside its ranges: were it beside each chain, a batch would hold it thousands of times.
+    """
+    ends = F.array(*(F.struct(F.col(k).alias("k"), F.col(lo).alias("lo"), F.col(hi).alias("hi")) for k, lo, hi in (("t", "x0", "x1"), ("p", "y0", "y1"))))
+    ranges = found.select(F.inline(ends)).groupBy("k").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    return ranges.join(texts.select(F.col("t").alias("k"), "text"), "k").select("k", "ranges", "text").mapInArrow(cuts, _CUT)
+
+
+def _batch(rows: list[tuple], types: Sequence[pa.DataType], schema: str) -> pa.RecordBatch:
+    """Rows as a batch with the names of ``schema``."""
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=[x.split()[0] for x in schema.split(", ")])
 
 
 _ALIGNED = "t long, p long, x0 int, x1 int, y0 int, y1 int"
@@ -362,22 +381,27 @@ _ALIGNED = "t long, p long, x0 int, x1 int, y0 int, y1 int"
 
 def _passages(found: DataFrame, texts: DataFrame) -> DataFrame:
     """The chains whose alignment is a passage: text, partner, and the places in both."""
-    left = _cut(found, texts, "t", "x0", "x1", "a")
-    right = _cut(found.select("p", "y0", "y1").distinct(), texts, "p", "y0", "y1", "b")
+    words = _cut(found, texts)
+
+    def side(k: str, lo: str, hi: str, out: str) -> DataFrame:
+        return words.select(F.col("k").alias(k), F.col("lo").alias(lo), F.col("hi").alias(hi), F.col("words").alias(out), F.col("first").alias(f"{out}_from"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
         for rb in batches:
-            c = {n: rb.column(n).to_pylist() for n in rb.schema.names}
-            rows = []
-            for i in range(rb.num_rows):
-                af, bf = c["a_from"][i], c["b_from"][i]
-                for x0, x1, y0, y1 in passages(c["a"][i].split(), c["b"][i].split(), [x - af for x in c["xs"][i]], [y - bf for y in c["ys"][i]]):
-                    rows.append((c["t"][i], c["p"][i], x0 + af, x1 + af, y0 + bf, y1 + bf))
-            if rows:
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), types)], names=["t", "p", "x0", "x1", "y0", "y1"])
+            for s, e in text_ranges(rb.column("a")):
+                c = {n: rb.column(n).slice(s, e - s).to_pylist() for n in rb.schema.names}
+                rows = []
+                for i in range(e - s):
+                    af, bf = c["a_from"][i], c["b_from"][i]
+                    for x0, x1, y0, y1 in passages(c["a"][i].split(), c["b"][i].split(), [x - af for x in c["xs"][i]], [y - bf for y in c["ys"][i]]):
+                        rows.append((c["t"][i], c["p"][i], x0 + af, x1 + af, y0 + bf, y1 + bf))
+                if rows:
+                    yield _batch(rows, types, _ALIGNED)
+                del c
+                give_back()
 
-    return left.join(right, ["p", "y0", "y1"]).mapInArrow(run, _ALIGNED)
+    return found.join(side("t", "x0", "x1", "a"), ["t", "x0", "x1"]).join(side("p", "y0", "y1", "b"), ["p", "y0", "y1"]).mapInArrow(run, _ALIGNED)
 
 
 def _explained(chained: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -435,10 +459,10 @@ def _windows(stretched: DataFrame, covered: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            texts, ids = binaries(rb.column("text")), rb.column("t").to_numpy()
+            ids = rb.column("t").to_numpy()
             stretches, known = rb.column("stretches").to_pylist(), rb.column("known").to_pylist()
-            for a, b in slices(texts, 1 << 20):
-                flat, counts = split_words(texts[a:b])
+            for a, b in text_ranges(rb.column("text"), 1 << 20):
+                flat, counts = split_words(binaries(rb.column("text").slice(a, b - a)))
                 h, owner, pos = window_hashes(hash_words(flat), counts, PASSAGE)
                 first = np.searchsorted(owner, np.arange(b - a + 1))
                 use = np.zeros(len(h), bool)
@@ -530,8 +554,9 @@ def _sought(matches: DataFrame, open_: DataFrame) -> DataFrame:
 def _holding(sought: DataFrame, seeded: DataFrame, holders: DataFrame) -> DataFrame:
     """t, seed, pos: all places of the seeds of ``sought``."""
     own = seeded.select(F.col("_row").alias("t"), F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("t", F.col("s.seeds").alias("seed"), F.col("s.at").alias("pos"))
-    own = pruned(own, "seed", sought.select("seed")).join(sought.select("seed").distinct(), "seed", "left_semi")
-    return written(own.join(holders.select("t"), "t", "left_semi"), "substring-places")
+    # inner joins with distinct keys: the optimizer pushes semi joins below the filter's join, so all places would be shuffled
+    own = pruned(own, "seed", sought.select("seed")).join(sought.select("seed").distinct(), "seed")
+    return written(own.join(holders.select("t"), "t").select("t", "seed", "pos"), "substring-places")
 
 
 def _met(sought: DataFrame, places: DataFrame) -> DataFrame:

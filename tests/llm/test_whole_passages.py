@@ -4,12 +4,14 @@ import itertools
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from conftest import edited, prose
+from pyspark.sql import functions as F
 from test_dedup import repeated
 
 from sluice.llm import substring_dedup
-from sluice.llm.common import hash_words, split_words, window_hashes
+from sluice.llm.common import SLICE_BYTES, hash_words, split_words, window_hashes
 
 
 def check(make, texts):
@@ -140,3 +142,38 @@ def test_texts_that_share_a_short_clause_do_not_all_meet(make, monkeypatch):
     for name, table, _ in tables:
         path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0])
         assert name == "substring-keys" or not path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_a_text_goes_to_the_workers_once_a_step(make, monkeypatch):
+    r, sent = random.Random(40), []
+    parts = [words(r, 60) for _ in range(40)]
+    texts = [" ".join(f"{p} {words(r, 40)}" for p in parts), *(f"{words(r, 20)} {p} {words(r, 20)}" for p in parts)]
+    docs, whole = make(texts), sum(map(len, texts))
+    mapped = type(docs).mapInArrow
+
+    def seen(df, *args, **more):
+        for c in {"text", "_text"} & set(df.columns):
+            sent.append(df.agg(F.sum(F.length(c))).first()[0] or 0)
+        return mapped(df, *args, **more)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", seen)
+    cover = [set() for _ in texts]
+    for x in substring_dedup.repeated_passages(docs).collect():
+        cover[x["doc_id"]] |= set(range(x["start_word"], x["end_word"]))
+    assert sent and max(sent) <= whole, (sent, whole)
+    assert all(w <= c for w, c in zip(repeated(texts), cover))
+
+
+def test_ranges_of_long_texts_leave_in_small_batches():
+    text = " ".join(f"w{i}" for i in range(20_000))
+    n = 400  # ranges of nearly all of the text, as near copies of it ask for
+    rb = pa.RecordBatch.from_pylist([{"k": 1, "ranges": [{"lo": i, "hi": 19_000 + i} for i in range(n)], "text": text}, {"k": 2, "ranges": [{"lo": 50, "hi": 60}], "text": text}])
+    rows, ends = [], []
+    for out in substring_dedup.cuts(iter([rb])):
+        assert out.nbytes <= 2 * SLICE_BYTES
+        ends.append(out.num_rows)
+        rows += out.to_pylist()
+    assert len(ends) > 1 and [(x["k"], x["lo"], x["hi"]) for x in rows] == [*((1, i, 19_000 + i) for i in range(n)), (2, 50, 60)]
+    for x in rows[:2] + rows[-2:]:
+        first = max(0, x["lo"] - substring_dedup.MARGIN)
+        assert x["first"] == first and x["words"].decode().split() == text.split()[first : x["hi"] + substring_dedup.SEED + substring_dedup.MARGIN]
