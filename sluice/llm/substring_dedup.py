@@ -559,29 +559,145 @@ def _holding(sought: DataFrame, seeded: DataFrame, holders: DataFrame) -> DataFr
     return written(own.join(holders.select("t"), "t").select("t", "seed", "pos"), "substring-places")
 
 
-def _met(sought: DataFrame, places: DataFrame) -> DataFrame:
-    """The chains of uncovered places and those near them with all texts that may hold one."""
+#: A row of a key: its text, whether it is sought (tells), both seeds' places, the known passage that holds both, and hashes of the words before the first and after the second.
+_HELD = "key long, t long, tells int, i int, j int, lo int, hi int, before binary, after binary"
+_HELD_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(2 * MARGIN + 4), pa.binary(2 * MARGIN + 4))
+
+
+def _words_beside(wanted: DataFrame) -> DataFrame:
+    """The rows of texts (t, text, keys, known) as ``_HELD``: ``MARGIN`` words each way, as many as an alignment extends over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            ids, keys, known = rb.column("t").to_numpy(), rb.column("keys"), rb.column("known").to_pylist()
+            for a, b in text_ranges(rb.column("text")):
+                flat, counts = split_words(binaries(rb.column("text").slice(a, b - a)))
+                words, first = word_marks(hash_words(flat)), np.concatenate([[0], np.cumsum(counts)])
+                for n, (tells, i, j, key) in enumerate(_listed(keys.slice(a, b - a))):
+                    order = np.lexsort((-tells, j, i, key))  # a place that tells is held as well: one row
+                    tells, i, j, key = (x[order] for x in (tells, i, j, key))
+                    one = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+                    tells, i, j, key = (x[one] for x in (tells, i, j, key))
+                    mine = np.concatenate([np.zeros(MARGIN + 2, np.uint16), words[first[n] : first[n + 1]], np.zeros(MARGIN + 2 + SEED, np.uint16)])
+                    spans = sorted((s["start"], s["stop"]) for s in known[a + n] or [])
+                    starts, stops = (np.array([-1, *x], np.int32) for x in zip(*spans)) if spans else (np.array([-1], np.int32),) * 2
+                    at = np.searchsorted(starts, i, side="right") - 1
+                    held = stops[at] >= j + SEED
+                    lo, hi = np.where(held, starts[at], np.iinfo(np.int32).max), np.where(held, stops[at], -1)
+                    step = np.arange(MARGIN, dtype=np.int64)
+                    for s in range(0, len(key), 8192):
+                        c = slice(s, s + 8192)
+                        sides = (mine[i[c, None] + MARGIN + 1 - step], mine[j[c, None] + MARGIN + 2 + SEED + step])
+                        beside = [pa.FixedSizeBinaryArray.from_buffers(_HELD_TYPES[-1], len(x), [None, pa.py_buffer(np.pad(x, ((0, 0), (0, 2))).tobytes())]) for x in sides]
+                        columns = (key[c], np.full(len(i[c]), ids[a + n]), tells[c], i[c], j[c], lo[c], hi[c])
+                        yield pa.RecordBatch.from_arrays(
+                            [*(pa.array(x, k) for x, k in zip(columns, _HELD_TYPES)), *(x.cast(pa.binary()) for x in beside)], names=[x.split()[0] for x in _HELD.split(", ")]
+                        )
+                give_back()
+
+    return wanted.select("t", "text", "keys", "known").mapInArrow(run, _HELD)
+
+
+def word_marks(h: np.ndarray) -> np.ndarray:
+    """16 bits of each word's hash, never 0, which stands beyond a text's ends."""
+    return np.maximum(h >> UINT(48), UINT(1)).astype(np.uint16)
+
+
+def extensions(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_extension`` for many pairs at a time: ``words`` has a row of marks for each place, 0 beyond its end; ``a`` and ``b`` are rows."""
+    width, flat = words.shape[1], words.reshape(-1)
+    ends_a, ends_b = np.zeros(len(a), np.int32), np.zeros(len(a), np.int32)
+    which, i, j = np.arange(len(a)), a * width, b * width
+    score, best = np.zeros(len(a), np.int32), np.zeros(len(a), np.int32)
+    while len(which):
+        x, y = flat[i], flat[j]
+        go = (x != 0) & (y != 0) & (score > best - 8)
+        if not go.all():
+            which, i, j, x, y, score, best = (c[go] for c in (which, i, j, x, y, score, best))
+        same = x == y
+        skip_a = ~same & (flat[i + 1] == y)
+        skip_b = ~same & ~skip_a & (x == flat[j + 1])
+        score += np.where(same, 1, np.where(skip_a | skip_b, -2, -3)).astype(np.int32)
+        i, j = i + ~skip_b, j + ~skip_a
+        more = np.flatnonzero(score > best)
+        best[more] = score[more]
+        w = which[more]
+        ends_a[w], ends_b[w] = i[more] - a[w] * width, j[more] - b[w] * width
+    return ends_a, ends_b
+
+
+#: Pairs of places that a worker looks at at a time.
+_PAIRS = 1 << 17
+
+
+def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """t, p: the texts of a key that may have a new passage there, of ``_HELD`` sorted by key.
+
+    Most pairs of a key share a clause and nothing around it. The words beside both seeds tell how far an alignment extends
+    beyond them; if with that it spans less than ``PASSAGE``, or lies in what is known of both texts, the pair is left out.
+    A chain's own ends are a key like others, and of a chain beyond ``APART`` words any key inside it spans ``PASSAGE``.
+    """
+    for g, starts in complete_groups(batches, ["key"]):
+        t, told, i, j, lo, hi = (g.column(c).to_numpy() for c in ("t", "tells", "i", "j", "lo", "hi"))
+        before, after = (np.frombuffer(b"".join(g.column(c).to_pylist()), np.uint16).reshape(g.num_rows, -1) for c in ("before", "after"))
+        sizes = np.diff(np.append(starts, g.num_rows))
+        own = np.repeat(np.arange(len(starts)), sizes)
+        tells = np.flatnonzero(told)
+        tells = tells[sizes[own[tells]] > 1]
+        ends = np.cumsum(sizes[own[tells]])
+        at = 0
+        while at < len(tells):
+            done = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + _PAIRS, side="right")))
+            part = tells[at:stop]
+            n = sizes[own[part]]
+            a = np.repeat(part, n)
+            b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[own[part]], n)
+            at = stop
+            use = t[a] != t[b]
+            a, b = a[use], b[use]
+            left_a, left_b = extensions(before, a, b)
+            right_a, right_b = extensions(after, a, b)
+            a0, a1, b0, b1 = i[a] - left_a, j[a] + SEED + right_a, i[b] - left_b, j[b] + SEED + right_b
+            new = (a0 < lo[a]) | (a1 > hi[a]) | (b0 < lo[b]) | (b1 > hi[b])
+            use = np.flatnonzero(new & (a1 - a0 >= PASSAGE) & (b1 - b0 >= PASSAGE))
+            if len(use):
+                found = pa.table({"t": t[a[use]], "p": t[b[use]]})
+                yield from found.group_by(["t", "p"]).aggregate([]).to_batches()
+
+
+def _met(sought: DataFrame, places: DataFrame, known: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The chains of uncovered places and those near them with all texts that may hold one, and the texts of both."""
 
     # a chain that spans LEAST_SPAN has two places that are so far apart: texts meet by both seeds, those of covered places too, as a passage may reach beyond its chain
     def ours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, starts in complete_groups(batches, ["t", "start"]):
             pos, seed = (g.column(c).to_numpy() for c in ("pos", "seed"))
             own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, g.num_rows)))
-            i, _, key = _keys(own, pos, seed, LEAST_SPAN - SEED, APART)
-            yield from g.select(["t", "start"]).take(pa.array(i)).append_column("key", pa.array(key)).to_batches()
+            i, j, key = _keys(own, pos, seed, LEAST_SPAN - SEED, APART)
+            yield from g.select(["t"]).take(pa.array(i)).append_column("i", pa.array(pos[i])).append_column("j", pa.array(pos[j])).append_column("key", pa.array(key)).to_batches()
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, _ in complete_groups(batches, ["t"]):
             t, pos, seed = (g.column(c).to_numpy() for c in ("t", "pos", "seed"))
-            i, _, key = _keys(t, pos, seed, 1, int(APART / AGREE))
-            yield pa.RecordBatch.from_arrays([pa.array(t[i]), pa.array(key)], names=["p", "key"])
+            i, j, key = _keys(t, pos, seed, 1, int(APART / AGREE))
+            yield pa.RecordBatch.from_arrays([pa.array(t[i]), pa.array(pos[i]), pa.array(pos[j]), pa.array(key)], names=["t", "i", "j", "key"])
 
-    tells = sought.select("t", "start", "pos", "seed").repartition("t").sortWithinPartitions("t", "start", "pos").mapInArrow(ours, "t long, start int, key long").distinct()
+    tells = sought.select("t", "start", "pos", "seed").repartition("t").sortWithinPartitions("t", "start", "pos").mapInArrow(ours, "t long, i int, j int, key long")
     tells = written(tells, "substring-keys")
-    held = places.select("t", "pos", "seed").repartition("t").sortWithinPartitions("t", "pos").mapInArrow(others, "p long, key long")
-    pairs = tells.join(pruned(held, "key", tells).distinct(), "key").where("t <> p").select("t", "start", "p").distinct()
+    held = places.select("t", "pos", "seed").repartition("t").sortWithinPartitions("t", "pos").mapInArrow(others, "t long, i int, j int, key long")
+    held = written(pruned(held, "key", tells), "substring-held")
+    several = held.groupBy("key").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("key")
+    rows = tells.withColumn("tells", F.lit(1)).unionByName(held.withColumn("tells", F.lit(0))).join(several, "key")
+    listed = written(rows.groupBy("t").agg(F.collect_list(F.struct("tells", "i", "j", "key")).alias("keys")), "substring-listed")
+    words = texts(listed.select("t"))
+    spans = known.groupBy("t").agg(F.collect_list(F.struct("start", "stop")).alias("known"))
+    beside = _words_beside(words.join(listed, "t").join(spans, "t", "left"))
+    pairs = written(beside.repartition("key").sortWithinPartitions("key").mapInArrow(meeting, "t long, p long").distinct(), "substring-pairs")
+    forget(held, listed)
     theirs = places.select("seed", F.col("t").alias("p"), F.col("pos").alias("q"))
-    both = pairs.join(sought.select("t", "start", "pos", "seed"), ["t", "start"]).join(theirs, ["seed", "p"])
+    # all of a text's places: a chain may begin where the score of one before it still counts
+    both = pairs.join(sought.select("t", "start", "pos", "seed"), "t").join(theirs, ["seed", "p"])
     lists = both.groupBy("t", "p").agg(F.sort_array(F.collect_list(F.struct("start", "pos", "q"))).alias("at"))
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -595,7 +711,7 @@ def _met(sought: DataFrame, places: DataFrame) -> DataFrame:
             if rows:
                 yield _chain_batch(rows)
 
-    return lists.mapInArrow(chain, _CHAINED)
+    return lists.mapInArrow(chain, _CHAINED), words
 
 
 def _listed(column: pa.ListArray) -> Iterator[list[np.ndarray]]:
@@ -632,9 +748,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     spans = spans.unionAll(_exact(matches, texts, _merged(spans)))
     forget(texts)
     # and what is still left with all texts
-    sought = _sought(matches, written(_uncovered(matches, spans), "substring-open"))
-    chained = _met(sought, _holding(sought, seeded, holders))
-    spans = spans.unionAll(_explained(chained, lambda wanted: written(fetched(wanted), "substring-words")))
+    known = written(_merged(spans), "substring-known")
+    sought = _sought(matches, written(_uncovered(matches, known), "substring-open"))
+    chained, words = _met(sought, _holding(sought, seeded, holders), known, lambda wanted: written(fetched(wanted), "substring-words"))
+    spans = spans.unionAll(_explained(chained, lambda wanted: words.join(wanted, "t", "left_semi")))
     merged = _merged(spans)
     partner = holders.select(F.col("t").alias("p"), "first_id", "last_id")
     rows = seeded.select("doc_id", "h1", "h2").join(holders.select("h1", "h2", "t"), ["h1", "h2"]).select("t", "doc_id")

@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import edited, prose
@@ -177,3 +178,39 @@ def test_ranges_of_long_texts_leave_in_small_batches():
     for x in rows[:2] + rows[-2:]:
         first = max(0, x["lo"] - substring_dedup.MARGIN)
         assert x["first"] == first and x["words"].decode().split() == text.split()[first : x["hi"] + substring_dedup.SEED + substring_dedup.MARGIN]
+
+
+def test_extensions_of_many_pairs_are_those_of_each():
+    r = random.Random(41)
+    rows = [[r.randint(1, r.choice((2, 9, 99))) for _ in range(r.choice((0, 3, 10, 40)))] for _ in range(150)]
+    for base in rows[:]:  # edited copies, so that some run on for long
+        other = [x if r.random() > 0.15 else r.randint(100, 999) for x in base if r.random() > 0.05]
+        rows.append(other)
+    marks = np.zeros((len(rows), 42), np.uint16)
+    for k, x in enumerate(rows):
+        marks[k, : len(x)] = x
+    pairs = [(k, k + 150) for k in range(150)] + [(r.randrange(300), r.randrange(300)) for _ in range(3000)]
+    a, b = (np.array(x) for x in zip(*pairs))
+    got = list(zip(*(x.tolist() for x in substring_dedup.extensions(marks, a, b))))
+    assert got == [substring_dedup._extension(rows[x], rows[y]) for x, y in pairs] and max(got)[0] > 30
+
+
+def test_texts_that_share_a_clause_make_no_chains_of_all_pairs(make, monkeypatch):
+    r, chained = random.Random(42), []
+    written = substring_dedup.written
+
+    def seen(df, name):
+        out = written(df, name)
+        if name == "substring-chains":
+            chained.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "written", seen)
+    clause, n = words(r, 42), 60
+    # long enough for a chain, too short for a passage
+    texts = [f"{words(r, 60)} {clause} {words(r, 60)}" for _ in range(n)]
+    p = words(r, 60)
+    texts += [f"{words(r, 20)} {p} {words(r, 20)}", f"{words(r, 20)} {edited(r, p, 0.03)} {words(r, 20)}"]
+    texts += [f"{words(r, 20)} {clause} {p} {words(r, 20)}" for _ in range(2)]
+    check(make, texts)
+    assert chained[-1] < 4 * n, chained
