@@ -18,8 +18,9 @@ runs of 2 and of 4 seeds that follow one another, so that the pivots of a longer
 a clause that is frequent elsewhere. What is left is settled exactly: every run of 50 words of a stretch that no passage
 covers is looked up by its hash among the runs of all stretches. The shared seeds that still lie in no passage are matched
 with all texts, not with pivots: every text that shares two seeds near such a place, as far apart as a chain spans at
-least and up to ``APART`` words, is chained and aligned, on the seeds within ``REACH`` words. These pairs grow with the
-square of the number of texts that share a clause of that length outside passages. The number of passes does not depend on the data.
+least and up to ``APART`` words, is compared by the words beside both. Texts that may have a new passage there are chained and
+aligned, on the seeds within ``REACH`` words. The comparisons grow with the square of the number of texts that share a clause
+of that length; chains are made for few of them. The number of passes does not depend on the data.
 
 Defined results: null and empty texts have no passages; texts of fewer than 50 words have none; equal texts of at
 least 50 words are one passage as a whole; a passage repeated only within one text is none; rows that share an id are
